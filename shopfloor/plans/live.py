@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COMPONENTS, REASON_ABOVE, SENSORS
+from ..functions.arrays import array_mean
 from ..functions.scalars import hybrid, machine_label, soften, valid_window
 from ..operators import alerts as A
 from ..operators import explain as X
@@ -51,9 +52,8 @@ def sensor_windows(
 
 def window_means(rows: Column, params: Column) -> Column:
     """Mean of each scaled sensor over a window: the stand-in memory vector of linear models."""
-    n = F.size(rows)
     return F.array(*[
-        (F.aggregate(rows, F.lit(0.0), lambda a, r, c=c: a + r[c]) / n - params[f"mean_{c}"]) / params[f"std_{c}"] for c in SENSORS
+        (array_mean(F.transform(rows, lambda r: r[c])) - params[f"mean_{c}"]) / params[f"std_{c}"] for c in SENSORS
     ])
 
 

@@ -83,7 +83,8 @@ def risk_window_labels(
         *[F.when(F.col(cat) == v, F.col(ts)).alias(f"_at_{v}") for v in values],
     )
     tall = with_slice(grid, s).withColumn("_kind", F.lit(1)).unionByName(copies, allowMissingColumns=True)
-    ahead = Window.partitionBy(*s.sliced).orderBy(ts, "_kind").rowsBetween(0, Window.unboundedFollowing)
+    # Latest first, so that the frame starts at the first row and is evaluated in one pass.
+    ahead = Window.partitionBy(*s.sliced).orderBy(F.desc(ts), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
     out = tall.withColumns({f"_next_{v}": F.min(f"_at_{v}").over(ahead) for v in values}).filter("_kind = 1")
     labels = {
         f"risk_{v}": F.coalesce(

@@ -43,13 +43,14 @@ class Series:
     def sliced(self) -> list[str]:
         return [*self.keys, SLICE]
 
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.sliced).orderBy(*self.order)
+    def window(self, forward: bool = True) -> WindowSpec:
+        order = self.order if forward else [F.col(c).desc() for c in self.order]
+        return Window.partitionBy(*self.sliced).orderBy(*order)
 
-    def over_slices(self) -> WindowSpec:
+    def over_slices(self, forward: bool = True) -> WindowSpec:
         """Window over the per-slice summary of a key (one row per slice, not per record)."""
         keys = [F.col(k) for k in self.keys] or [F.lit(0)]
-        return Window.partitionBy(*keys).orderBy(SLICE)
+        return Window.partitionBy(*keys).orderBy(SLICE if forward else F.col(SLICE).desc())
 
 
 def position(df: DataFrame, column: str) -> Column:
@@ -89,12 +90,12 @@ def _border_rows(df: DataFrame, s: Series, n: int, forward: bool) -> DataFrame:
     edge = df.withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= n)
 
     keys = [F.col(k) for k in s.keys] or [F.lit(0)]
-    along = F.col(SLICE).asc() if forward else F.col(SLICE).desc()
-    in_order = Window.partitionBy(*keys).orderBy(along)
+    in_order = s.over_slices(forward)
     within_reach = Window.partitionBy(*keys).orderBy("_end").rangeBetween(0, n - 1)
+    # A slice of n rows or more ends every reach, so counts above n need not differ.
     reach = (
-        edge.groupBy(*s.sliced)
-        .agg(F.count("*").alias("_rows"))
+        df.groupBy(*s.sliced)
+        .agg(F.least(F.count("*"), F.lit(n)).alias("_rows"))
         .withColumn("_end", F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_next", F.lead(SLICE).over(in_order))
         .withColumn(
@@ -155,20 +156,16 @@ def carry(
     summary = rows.groupBy(*s.sliced).agg(
         *[pick(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_in_{o}") for o, c in values.items()]
     )
-    if forward:
-        outer = s.over_slices().rowsBetween(Window.unboundedPreceding, -1)
-        inner = s.window().rowsBetween(Window.unboundedPreceding, 0)
-        nearest = F.last
-    else:
-        outer = s.over_slices().rowsBetween(1, Window.unboundedFollowing)
-        inner = s.window().rowsBetween(0, Window.unboundedFollowing)
-        nearest = F.first
+    # Backward carrying runs forward over the reversed order: frames that end at the last
+    # row are evaluated anew for every row, frames that start at the first row are not.
+    outer = s.over_slices(forward).rowsBetween(Window.unboundedPreceding, -1)
+    inner = s.window(forward).rowsBetween(Window.unboundedPreceding, 0)
     summary = summary.withColumns(
-        {f"_in_{o}": nearest(f"_in_{o}", ignorenulls=True).over(outer) for o in values}
+        {f"_in_{o}": F.last(f"_in_{o}", ignorenulls=True).over(outer) for o in values}
     )
-    out = rows.join(summary, s.sliced, "left") if s.keys else rows.join(summary, SLICE, "left")
+    out = rows.join(summary, s.sliced, "left")
     out = out.withColumns(
-        {o: F.coalesce(nearest(c, ignorenulls=True).over(inner), F.col(f"_in_{o}")) for o, c in values.items()}
+        {o: F.coalesce(F.last(c, ignorenulls=True).over(inner), F.col(f"_in_{o}")) for o, c in values.items()}
     ).drop(*[f"_in_{o}" for o in values])
     return out if keep else out.drop(SLICE)
 

@@ -65,7 +65,10 @@ def erp_matrix(
     )
     order = Window.partitionBy(*s.sliced).orderBy(ts, "_kind")
     past = order.rowsBetween(Window.unboundedPreceding, 0)
-    future = order.rowsBetween(0, Window.unboundedFollowing)
+    # Latest first, so that the frame starts at the first row and is evaluated in one pass.
+    future = (
+        Window.partitionBy(*s.sliced).orderBy(F.desc(ts), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    )
     recent = Window.partitionBy(*s.sliced).orderBy(ts).rowsBetween(-(rolling_rows - 1), 0)
     # Seeds have no time and sort first; border copies precede the slice and stay out of the result.
     placed = tall.withColumns(

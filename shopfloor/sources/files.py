@@ -48,7 +48,7 @@ def scan_tree(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, Data
     """All ``.csv`` and ``.txt`` files below a folder.
 
     Returns one status row per file and the readable frames by path. Only names and sizes
-    are listed; one unreadable file does not stop the others.
+    are listed; one unreadable file does not stop the others. Files of zero bytes do not appear.
     """
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,txt}")

@@ -22,6 +22,18 @@ EVENTS = Series(("machine_id",), ("ts", "event_id"), 7 * DAY)
 # Telemetry tables already written, by session and folder.
 _TELEMETRY: dict[tuple[str, str], DataFrame] = {}
 
+# Schemas of the given tables; stating them saves a job per read.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double,
+        l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz,
+        o_orderpriority string""",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
 KINDS = ["robot", "laser", "press_brake", "punching"]
 
 
@@ -34,7 +46,7 @@ class Views:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def ev(self) -> DataFrame:
         return self.table("events").select(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import SLICE, Series, bounded, carry, position, running_sum, ordinal, with_slice
+from .series import SLICE, Series, carry, ordinal, position, running_sum, with_slice
 
 
 def event_counts(df: DataFrame, keys: Sequence[str], cat: str, values: Sequence[str]) -> DataFrame:
@@ -64,34 +64,35 @@ def asof_backward(left: DataFrame, right: DataFrame, s: Series, cols: Sequence[s
     )
 
 
+def announce(events: DataFrame, s: Series, seconds: int) -> DataFrame:
+    """Copies of each event in every slice touched by the span of ``seconds`` before it.
+
+    ``_from`` is the start of the span; in later slices it sorts before all rows.
+    """
+    ts = s.order[0]
+    when = position(events, ts)
+    width = F.lit(float(s.width))
+    touched = F.sequence(F.floor((when - seconds) / width), F.floor(when / width))
+    return events.withColumns({SLICE: F.explode(touched), "_from": F.col(ts) - F.expr(f"INTERVAL '{seconds}' SECOND")})
+
+
 def risk_window_labels(
     grid: DataFrame, failures: DataFrame, s: Series, cat: str, values: Sequence[str], hours: int = 48
 ) -> DataFrame:
     """``risk_<value>`` = 1 iff a failure of that kind lies in ``[t, t + hours]``, ends included.
 
-    Each failure is copied to the few slices its warning span touches; within a slice the
-    next failure is found by one window instead of a range join.
+    No range join: each failure is announced at the start of its warning span, and a row is
+    at risk while the latest failure announced before it still lies ahead.
     """
     ts = s.order[0]
-    span = hours * 3600
-    when = position(failures, ts)
-    width = F.lit(float(s.width))
-    copies = failures.withColumn(
-        SLICE, F.explode(F.sequence(F.floor((when - span) / width), F.floor(when / width)))
-    ).select(
-        *s.sliced, ts, F.lit(2).alias("_kind"),
+    warned = announce(failures, s, hours * 3600).select(
+        *s.sliced, F.col("_from").alias(ts), F.lit(0).alias("_kind"),
         *[F.when(F.col(cat) == v, F.col(ts)).alias(f"_at_{v}") for v in values],
     )
-    tall = with_slice(grid, s).withColumn("_kind", F.lit(1)).unionByName(copies, allowMissingColumns=True)
-    # Latest first, so that the frame starts at the first row and is evaluated in one pass.
-    ahead = Window.partitionBy(*s.sliced).orderBy(F.desc(ts), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
-    out = tall.withColumns({f"_next_{v}": F.min(f"_at_{v}").over(ahead) for v in values}).filter("_kind = 1")
-    labels = {
-        f"risk_{v}": F.coalesce(
-            (F.timestamp_diff("MICROSECOND", F.col(ts), F.col(f"_next_{v}")) <= span * 1_000_000).cast("int"), F.lit(0)
-        )
-        for v in values
-    }
+    tall = with_slice(grid, s).withColumn("_kind", F.lit(1)).unionByName(warned, allowMissingColumns=True)
+    so_far = f"over (partition by {', '.join(s.sliced)} order by {ts}, _kind rows between unbounded preceding and current row)"
+    out = tall.withColumns({f"_next_{v}": F.expr(f"max(_at_{v}) {so_far}") for v in values}).filter("_kind = 1")
+    labels = {f"risk_{v}": F.expr(f"cast(coalesce(_next_{v} >= {ts}, false) as int)") for v in values}
     return out.withColumns(labels).drop(
         SLICE, "_kind", *[f"_at_{v}" for v in values], *[f"_next_{v}" for v in values]
     )

@@ -120,13 +120,14 @@ def bounded(
     s: Series,
     before: int,
     after: int,
-    build: Callable[[WindowSpec], dict[str, Column]],
+    build: Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column]]],
     needs: Sequence[str] | None = None,
     keep: bool = False,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``before``/``after`` rows.
 
-    ``build`` receives the ordered window (without a frame). ``needs`` names the columns its
+    ``build`` receives the ordered window (without a frame); it may return several steps, each
+    using the columns of the one before. ``needs`` names the columns its
     expressions read, so that border copies carry nothing else. ``keep`` leaves the slice
     column in place for a following step.
     """
@@ -139,7 +140,10 @@ def bounded(
             parts = parts.unionByName(
                 copies.withColumn("_copy", F.lit(True)), allowMissingColumns=True
             )
-    out = parts.withColumns(build(s.window())).filter(~F.col("_copy")).drop("_copy")
+    built = build(s.window())
+    for columns in built if isinstance(built, list) else [built]:
+        parts = parts.withColumns(columns)
+    out = parts.filter(~F.col("_copy")).drop("_copy")
     return out if keep else out.drop(SLICE)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import stable_hash
 from ..session import materialize
@@ -13,12 +14,27 @@ from .series import SLICE, Series, bounded, carry, ordinal, position, with_slice
 
 
 def rolling_sum(df: DataFrame, s: Series, cols: Sequence[str], n: int = 24, suffix: str = "") -> DataFrame:
-    """Sum of the last ``n`` rows including the current one; shorter at the start of a series."""
-    return bounded(
-        df, s, n - 1, 0,
-        lambda w: {f"{c}{suffix}": F.sum(c).over(w.rowsBetween(-(n - 1), 0)) for c in cols},
-        needs=cols,
-    )
+    """Sum of the last ``n`` rows including the current one; shorter at the start of a series.
+
+    Whole numbers take the difference of two running sums, one step per row; fractions are
+    summed anew over each frame, which adds no rounding error.
+    """
+    whole = all(isinstance(df.schema[c].dataType, T.IntegralType) for c in cols)
+
+    def build(w):
+        if not whole:
+            return {f"{c}{suffix}": F.sum(c).over(w.rowsBetween(-(n - 1), 0)) for c in cols}
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        running = {f"_c_{c}": F.coalesce(F.sum(c).over(upto), F.lit(0)) for c in cols}
+        known = {f"_k_{c}": F.count(c).over(w.rowsBetween(-(n - 1), 0)) for c in cols}
+        # Only NULL in the whole frame gives NULL.
+        total = {
+            f"{c}{suffix}": F.when(F.col(f"_k_{c}") > 0, F.col(f"_c_{c}") - F.lag(f"_c_{c}", n, 0).over(w)) for c in cols
+        }
+        return [running | known, total]
+
+    out = bounded(df, s, n - 1, 0, build, needs=cols)
+    return out.drop(*[f"{p}{c}" for c in cols for p in ("_c_", "_k_")])
 
 
 def rolling_std(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import COMPONENTS, ERRORS, RISK_HOURS
-from ..operators.events import elapsed_days, error_features
-from ..operators.series import SLICE, Series, _border_rows, position, with_slice
+from ..operators.events import announce, event_counts
+from ..operators.series import SLICE, Series, _border_rows, with_slice
 
 
 def erp_matrix(
@@ -27,66 +27,56 @@ def erp_matrix(
     (machine, slice), where every window runs on the same sort.
     """
     ts = s.order[0]
-    comps = COMPONENTS
-    counted = error_features(grid.select(*s.keys, ts), errors, (*s.keys, ts), "error_id", ERRORS)
-    rows = with_slice(counted, s)
+    keys = list(s.keys)
+    by = ", ".join(s.sliced)
+    span = hours * 3600
+    rows = with_slice(grid.select(*keys, ts), s)
+    counts = event_counts(errors, [*keys, ts], "error_id", ERRORS)
+
+    # Border rows are found on the bare grid and get their counts afterwards.
     border = _border_rows(rows, s, rolling_rows - 1, True)
+    counted = rows.selectExpr("*", "false as _copy").unionByName(border.selectExpr("*", "true as _copy"))
+    counted = counted.join(counts, [*keys, ts], "left").withColumn("_kind", F.lit(1))
 
     replaced = with_slice(
-        maint.select(*s.keys, ts, *[F.when(F.col("comp") == c, F.col(ts)).alias(f"_at_{c}") for c in comps]), s
+        maint.selectExpr(*keys, ts, *[f"case when comp = '{c}' then {ts} end as _at_{c}" for c in COMPONENTS]), s
     )
     # Last replacement before each slice, from one row per (machine, slice).
-    earlier = s.over_slices().rowsBetween(Window.unboundedPreceding, -1)
+    earlier = f"over (partition by {', '.join(keys)} order by {SLICE} rows between unbounded preceding and 1 preceding)"
     seeds = (
         rows.select(*s.sliced).unionByName(replaced, allowMissingColumns=True)
         .groupBy(*s.sliced)
-        .agg(*[F.max(f"_at_{c}").alias(f"_at_{c}") for c in comps])
-        .withColumns({f"_at_{c}": F.max(f"_at_{c}").over(earlier) for c in comps})
-        .filter(" or ".join(f"_at_{c} is not null" for c in comps))
+        .agg(*[F.expr(f"max(_at_{c}) as _at_{c}") for c in COMPONENTS])
+        .selectExpr(*s.sliced, *[f"max(_at_{c}) {earlier} as _at_{c}" for c in COMPONENTS])
+        .filter(" or ".join(f"_at_{c} is not null" for c in COMPONENTS))
     )
-    when = position(failures, ts)
-    width = F.lit(float(s.width))
-    ahead = failures.select(
-        *s.keys, ts,
-        F.explode(F.sequence(F.floor((when - hours * 3600) / width), F.floor(when / width))).alias(SLICE),
-        *[F.when(F.col("failure") == c, F.col(ts)).alias(f"_fails_{c}") for c in comps],
+    # A failure speaks from the start of its warning span, in every slice the span touches.
+    # The latest failure announced so far lies ahead exactly while a warning is due.
+    warned = announce(failures, s, span).selectExpr(
+        *s.sliced, f"_from as {ts}", *[f"case when failure = '{c}' then {ts} end as _fails_{c}" for c in COMPONENTS]
     )
 
-    def part(df: DataFrame, kind: int) -> DataFrame:
-        return df.withColumn("_kind", F.lit(kind))
-
-    # At equal time: events (0) before grid rows (1, border copies 1) before failures (2).
-    tall = (
-        part(rows, 1).withColumn("_copy", F.lit(False))
-        .unionByName(part(border, 1).withColumn("_copy", F.lit(True)), allowMissingColumns=True)
-        .unionByName(part(seeds, -1), allowMissingColumns=True)
-        .unionByName(part(replaced, 0), allowMissingColumns=True)
-        .unionByName(part(ahead, 2), allowMissingColumns=True)
-    )
-    order = Window.partitionBy(*s.sliced).orderBy(ts, "_kind")
-    past = order.rowsBetween(Window.unboundedPreceding, 0)
-    # Latest first, so that the frame starts at the first row and is evaluated in one pass.
-    future = (
-        Window.partitionBy(*s.sliced).orderBy(F.desc(ts), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    # At equal time events (kind 0) come before grid rows (kind 1); seeds have no time and come first.
+    events = (
+        seeds.unionByName(replaced, allowMissingColumns=True)
+        .unionByName(warned, allowMissingColumns=True)
+        .withColumn("_kind", F.lit(0))
     )
-    recent = Window.partitionBy(*s.sliced).orderBy(ts).rowsBetween(-(rolling_rows - 1), 0)
-    # Seeds have no time and sort first; border copies precede the slice and stay out of the result.
-    placed = tall.withColumns(
-        {f"_last_{c}": F.max(f"_at_{c}").over(past) for c in comps}
-        | {f"_next_{c}": F.min(f"_fails_{c}").over(future) for c in comps}
+    tall = counted.unionByName(events, allowMissingColumns=True)
+    so_far = f"over (partition by {by} order by {ts}, _kind rows between unbounded preceding and current row)"
+    placed = tall.selectExpr(
+        *s.sliced, ts, "_kind", "_copy",
+        *[f"coalesce(sum({e}) {so_far}, 0L) as {e}" for e in ERRORS],
+        *[f"max(_at_{c}) {so_far} as _last_{c}" for c in COMPONENTS],
+        *[f"max(_fails_{c}) {so_far} as _next_{c}" for c in COMPONENTS],
     ).filter("_kind = 1")
-    summed = placed.withColumns({e: F.sum(e).over(recent) for e in ERRORS}).filter(~F.col("_copy"))
-
-    matrix = summed.select(
-        *s.keys, ts, *ERRORS,
-        *[F.coalesce(elapsed_days(f"_last_{c}", ts), F.lit(0.0)).alias(c) for c in comps],
-        *[
-            F.coalesce(
-                (F.timestamp_diff("MICROSECOND", F.col(ts), F.col(f"_next_{c}")) <= hours * 3_600_000_000).cast("int"),
-                F.lit(0),
-            ).alias(f"risk_{c}")
-            for c in comps
-        ],
-    )
+    # Counts are whole numbers, so a rolling sum is the difference of two running sums.
+    back = f"over (partition by {by} order by {ts})"
+    matrix = placed.selectExpr(
+        *keys, ts, "_copy",
+        *[f"{e} - lag({e}, {rolling_rows}, 0L) {back} as {e}" for e in ERRORS],
+        *[f"coalesce(timestampdiff(MICROSECOND, _last_{c}, {ts}) / 86400000000.0D, 0.0D) as {c}" for c in COMPONENTS],
+        *[f"cast(coalesce(_next_{c} >= {ts}, false) as int) as risk_{c}" for c in COMPONENTS],
+    ).filter("not _copy").drop("_copy")
     # No hint: Spark broadcasts the dimension only while its size stays under the threshold.
-    return matrix.join(machines.select(*s.keys, "model", "age"), list(s.keys), "left")
+    return matrix.join(machines.select(*keys, "model", "age"), keys, "left")

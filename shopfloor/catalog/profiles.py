@@ -176,7 +176,7 @@ def _(v):
   c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY risk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s);;
   SELECT sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM c""")
 def _(v):
-    return EV.roc_auc(v.scores(), "risk", "label", width=1.0).withColumn("auc", F.round("auc", 6))
+    return EV.roc_auc(v.scores(), "risk", "label").withColumn("auc", F.round("auc", 6))
 
 
 @query("a20_classification_report", "scores", """

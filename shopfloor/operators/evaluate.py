@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .series import Series, running_sum
+from .series import Series, range_slices, running_sum
 
 
 def class_weights(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -17,16 +17,17 @@ def class_weights(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*structs))).filter("positives > 0").withColumn("weight", F.col("negatives") / F.col("positives"))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, width: float = 0.01) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve, ties counted half.
 
     Rows shrink to one per distinct score before anything is ordered; running counts are
-    then taken over score ranges of ``width``.
+    then taken over score ranges of equal size.
     """
     per_score = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n")
     )
-    below = running_sum(per_score, Series((), ("_s",), width), {"_n_upto": "_n"})
+    per_score, cut = range_slices(per_score, Series((), ("_s",)))
+    below = running_sum(per_score, cut, {"_n_upto": "_n"})
     wins = F.col("_p") * (F.col("_n_upto") - F.col("_n") / 2)
     return below.agg(
         F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), (F.sum(wins) / (F.sum("_p") * F.sum("_n"))).alias("auc")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import TARGET_PARTS
-from .series import Series, bounded, running_sum
+from .series import Series, bounded, range_slices, running_sum
 
 # Report texts.
 STATUS_UNREADABLE = "Lỗi đọc dữ liệu"
@@ -174,11 +174,12 @@ def top_correlations(df: DataFrame, target: str, k: int = 8) -> DataFrame:
     return rows.orderBy(F.desc("correlation"), "column").limit(k)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact median per key from value counts; equal values meet before any ordering."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts, cut = range_slices(counts, Series(tuple(keys), (value,)))
     total = F.sum("_n").alias("_total")
-    reached = running_sum(counts, Series(tuple(keys), (value,), width), {"_upto": "_n"})
+    reached = running_sum(counts, cut, {"_upto": "_n"})
     if keys:
         placed = reached.join(counts.groupBy(*keys).agg(total), list(keys))
     else:
@@ -199,7 +200,7 @@ def time_coverage(df: DataFrame, s: Series) -> DataFrame:
         lambda w: {"_gap": F.timestamp_diff("MICROSECOND", F.lag(ts).over(w), F.col(ts)) / F.lit(1e6)}, needs=[],
     )
     span = df.groupBy(*s.keys).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
-    median = exact_median(gap, s.keys, "_gap", 600.0).withColumnRenamed("median", "median_gap_seconds")
+    median = exact_median(gap, s.keys, "_gap").withColumnRenamed("median", "median_gap_seconds")
     return span.join(median, list(s.keys), "left")
 
 

@@ -10,18 +10,21 @@ it has slices. What a slice needs from its neighbours travels separately and is
   value per slice, combined over the slices of a key (``carry``, ``running_sum``,
   ``ordinal``).
 
-Results equal those of the plain window over the whole series for every slice width.
+Results equal those of the plain window over the whole series for every slice width. Where no
+fixed width fits, because values cluster anywhere, ``range_slices`` cuts by a sample instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 SLICE = "_slice"
 DAY = 86_400
 
@@ -32,12 +35,13 @@ class Series:
 
     ``width`` is in seconds for a time column and in units of the column otherwise. Pick it
     so that the densest key has at most a few million rows per slice and far more rows than
-    the longest row frame (see ``slice_width``).
+    the longest row frame (see ``slice_width``). None means that the rows already carry their
+    slices (see ``range_slices``).
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    width: float = 30 * DAY
+    width: float | None = 30 * DAY
 
     @property
     def sliced(self) -> list[str]:
@@ -62,6 +66,8 @@ def position(df: DataFrame, column: str) -> Column:
 
 
 def with_slice(df: DataFrame, s: Series) -> DataFrame:
+    if s.width is None:
+        return df
     number = F.floor(position(df, s.order[0]) / F.lit(float(s.width))).cast("long")
     return df.withColumn(SLICE, F.coalesce(number, F.lit(-(2**62))))
 
@@ -77,6 +83,18 @@ def slice_width(df: DataFrame, s: Series, rows: int = 2_000_000, unit: int = 360
     return max(unit, unit * (rows // densest))
 
 
+def range_slices(df: DataFrame, s: Series) -> tuple[DataFrame, Series]:
+    """Rows cut into slices of about equal size whatever the distribution of keys and values.
+
+    Range bounds come from a sample and may differ between runs, so the cut rows are written
+    once. Use it on rows that are aggregated already, or where no width fits.
+    """
+    order = [*s.keys, *s.order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *order).withColumn(SLICE, F.spark_partition_id().cast("long"))
+    return materialize(cut, "ranged"), replace(s, width=None)
+
+
 def _border_rows(df: DataFrame, s: Series, n: int, forward: bool) -> DataFrame:
     """Copies of the ``n`` rows nearest to each slice on the far side of its border.
 

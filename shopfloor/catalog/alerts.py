@@ -13,7 +13,7 @@ from ..operators import models as M
 from ..operators import scaling as SC
 from ..operators import windows as W
 from ..plans import live as L
-from .events import KEY, MATRIX_VIEWS, SQL_MATRIX, grid, matrix
+from .events import KEY, MATRIX_VIEWS, SQL_MATRIX, grid, stored_matrix
 from .profiles import _FIT as SQL_FIT
 from .registry import query
 
@@ -135,7 +135,7 @@ def _(v):
   round(e.comp1, 6) AS comp1, e.error1, e.age FROM failures f JOIN erp e ON e.machine_id = f.machine_id AND e.datetime = f.datetime""")
 def _(v):
     ask = v.failures().select("event_id", F.col("machine_id").alias("original_machine_id"), F.col("datetime").alias("original_datetime"))
-    out = L.lookup_erp(ask, matrix(v))
+    out = L.lookup_erp(ask, stored_matrix(v))
     return out.select("event_id", "original_machine_id", "original_datetime", F.round("comp1", 6).alias("comp1"), "error1", "age")
 
 
@@ -188,7 +188,7 @@ def _softened(c: str) -> str:
 @query("m06_training_matrix", MATRIX_VIEWS, SQL_FEATURES + """;; SELECT machine_id, datetime, len(x)::INT AS width, round(list_sum(x), 4) AS total,
   risk_comp1, risk_comp2, risk_comp3, risk_comp4 FROM feat""")
 def _(v):
-    out = M.training_matrix(features(v), matrix(v), KEY)
+    out = M.training_matrix(features(v), stored_matrix(v), KEY)
     total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
     return out.select(*KEY, F.size("features").alias("width"), F.round(total, 4).alias("total"), *[f"risk_{c}" for c in COMPONENTS])
 
@@ -196,7 +196,7 @@ def _(v):
 @query("m09_linear_scores", MATRIX_VIEWS, SQL_FEATURES + ";; SELECT machine_id, datetime, " + ", ".join(f"round({_softened(c)}, 4) AS {c}" for c in COMPONENTS) + " FROM feat")
 def _(v):
     """Softened risk of each component from linear models."""
-    rows = M.training_matrix(features(v), matrix(v), KEY)
+    rows = M.training_matrix(features(v), stored_matrix(v), KEY)
     p = {c: M.linear_score(F.col("features"), L._floats(w), b) for c, (w, b) in MODELS.items()}
     return rows.select(*KEY, *[F.round(S.soften(x), 4).alias(c) for c, x in p.items()])
 
@@ -207,7 +207,7 @@ SQL_IMPACT = SQL_FEATURES + ", imp AS (SELECT machine_id, datetime, x, [" + ", "
 
 
 def impacts(v):
-    rows = M.training_matrix(features(v), matrix(v), KEY)
+    rows = M.training_matrix(features(v), stored_matrix(v), KEY)
     impact = X.contributions(F.col("features"), L._floats(_W1), L._floats(MEANS))
     return rows.select(*KEY, X.named(NAMES, impact, F.col("features")).alias("items"))
 
@@ -261,7 +261,7 @@ def recent_telemetry(v):
 
 def status(v):
     return L.live_status(
-        v.machines(), components(v), metrics(v), L.sensor_windows(recent_telemetry(v)), matrix(v),
+        v.machines(), components(v), metrics(v), L.sensor_windows(recent_telemetry(v)), stored_matrix(v),
         SC.fit_scaler(v.telemetry(), SENSORS), MODELS, NAMES, MEANS,
     )
 
@@ -296,7 +296,7 @@ def _(v):
     CASE WHEN r.risk > 80 THEN 'danger' WHEN r.risk > 50 THEN 'warning' WHEN r.risk > 20 THEN 'watch' ELSE 'safe' END AS tier
   FROM failures f JOIN risks r ON r.machine_id = f.machine_id AND r.datetime BETWEEN f.datetime - INTERVAL 48 HOUR AND f.datetime""")
 def _(v):
-    out = L.replay(v.telemetry(), v.failures(), matrix(v), SC.fit_scaler(v.telemetry(), SENSORS), MODELS, TELEMETRY)
+    out = L.replay(v.telemetry(), v.failures(), stored_matrix(v), SC.fit_scaler(v.telemetry(), SENSORS), MODELS, TELEMETRY)
     return out.withColumn("tier", S.risk_tier(F.col("risk"), (80, 50, 20))).withColumn("risk", F.round("risk", 4))
 
 
@@ -321,7 +321,7 @@ def _(v):
 
 
 def _trained(v):
-    rows = M.training_matrix(features(v), matrix(v), KEY)
+    rows = M.training_matrix(features(v), stored_matrix(v), KEY)
     labels = [f"risk_{c}" for c in COMPONENTS]
     return rows, labels, M.train_risk_models(rows, labels)
 

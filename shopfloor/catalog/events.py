@@ -22,6 +22,11 @@ def matrix(v: Views):
     return erp_matrix(grid(v), v.errors(), v.maint(), v.failures(), v.machines(), TELEMETRY)
 
 
+def stored_matrix(v: Views):
+    """The matrix as a table, for the queries that look states up in it."""
+    return v.stored("erp-matrix", lambda: matrix(v))
+
+
 _COUNTS = ", ".join(f"count(*) FILTER (error_id = '{e}') AS {e}" for e in ERRORS)
 
 SQL_COUNTS = f"counts AS (SELECT machine_id, datetime, {_COUNTS} FROM errors GROUP BY ALL)"

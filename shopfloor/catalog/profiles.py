@@ -12,7 +12,7 @@ from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators import scaling as SC
 from ..operators import windows as W
-from .events import KEY, MATRIX_VIEWS, SQL_LABELS, grid
+from .events import KEY, SQL_LABELS, grid
 from .registry import query
 from .timeseries import SQL_HASH
 

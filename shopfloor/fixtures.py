@@ -6,6 +6,8 @@ Each view exists twice: as a DataFrame builder for ``queries()`` and as a SQL te
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 TELEMETRY = Series(("machine_id",), ("datetime",), 7 * DAY)
 EVENTS = Series(("machine_id",), ("ts", "event_id"), 7 * DAY)
 
-# Telemetry tables already written, by session and folder.
-_TELEMETRY: dict[tuple[str, str], DataFrame] = {}
+# Derived tables already written, by session, folder and name.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 # Schemas of the given tables; stating them saves a job per read.
 SCHEMAS = {
@@ -64,10 +66,14 @@ class Views:
         Deriving it numbers the rows of every machine; the queries then scan a stored table,
         as they would in production.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder)
-        if key not in _TELEMETRY:
-            _TELEMETRY[key] = materialize(self._derive_telemetry(), "telemetry")
-        return _TELEMETRY[key]
+        return self.stored("telemetry", self._derive_telemetry)
+
+    def stored(self, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, written on first use in this session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            _STORED[key] = materialize(derive(), name)
+        return _STORED[key]
 
     def _derive_telemetry(self) -> DataFrame:
         source = Series(

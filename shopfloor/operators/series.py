@@ -175,9 +175,12 @@ def carry(
     rows = with_slice(df, s)
     pick = F.max_by if forward else F.min_by
     at = F.struct(*s.order)
-    summary = rows.groupBy(*s.sliced).agg(
+    # Rows without values only name their slice, which hashes cheaply; picking values sorts.
+    known = " or ".join(f"`{c}` is not null" for c in values.values())
+    picked = rows.filter(known).groupBy(*s.sliced).agg(
         *[pick(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_in_{o}") for o, c in values.items()]
     )
+    summary = rows.groupBy(*s.sliced).agg(F.count("*").alias("_rows")).drop("_rows").join(picked, s.sliced, "left")
     # Backward carrying runs forward over the reversed order: frames that end at the last
     # row are evaluated anew for every row, frames that start at the first row are not.
     outer = s.over_slices(forward).rowsBetween(Window.unboundedPreceding, -1)

@@ -83,20 +83,33 @@ def forward_fill(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
 
 
 def lookahead_max(
-    df: DataFrame, s: Series, target: str, rows: int, out: str = "risk_ahead", tail: str = "zero"
+    df: DataFrame, s: Series, target: str, rows: int, out: str = "risk_ahead", tail: str = "zero", direct_rows: int = 64
 ) -> DataFrame:
     """Maximum of ``target`` over the next ``rows`` rows, the current one excluded.
 
-    Rows with fewer than ``rows`` successors get 0, or NULL with ``tail='null'``.
+    Rows with fewer than ``rows`` successors get 0, or NULL with ``tail='null'``. Frames of
+    more than ``direct_rows`` rows are not evaluated row by row: a frame covers the end of
+    one block of ``rows`` rows and the start of the next, whose running maxima are enough.
     """
     otherwise = F.lit(0) if tail == "zero" else F.lit(None)
 
     def build(w):
-        ahead = F.max(target).over(w.rowsBetween(1, rows))
         complete = F.lead(F.lit(True), rows).over(w).isNotNull()
-        return {out: F.when(complete, F.coalesce(ahead, otherwise)).otherwise(otherwise)}
-
-    return bounded(df, s, 0, rows, build, needs=[target])
+        label = F.when(complete, F.coalesce(F.col("_ahead"), otherwise)).otherwise(otherwise)
+        if rows <= direct_rows:
+            return [{"_ahead": F.max(target).over(w.rowsBetween(1, rows))}, {out: label}]
+        block = Window.partitionBy(*s.sliced, "_block")
+        upto, onward = block.orderBy(F.asc("_at")), block.orderBy(F.desc("_at"))
+        return [
+            {"_at": F.row_number().over(w)},
+            {"_block": F.floor(F.col("_at") / rows)},
+            {"_upto": F.max(target).over(upto), "_onward": F.max(target).over(onward)},
+            {"_ahead": F.greatest(F.lead("_onward", 1).over(w), F.lead("_upto", rows).over(w))},
+            {out: label},
+        ]
+
+    ahead = bounded(df, s, 0, rows, build, needs=[target])
+    return ahead.drop("_at", "_block", "_upto", "_onward", "_ahead")
 
 
 def has_history(df: DataFrame, s: Series, n: int = 24, out: str = "has_history") -> DataFrame:

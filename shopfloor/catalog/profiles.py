@@ -231,10 +231,10 @@ def _(v):
 _FIT = "fit AS (SELECT " + ", ".join(f"avg({c}) AS mean_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std_{c}" for c in SENSORS) + " FROM telemetry)"
 
 
-@query("m01_fit_scaler", "telemetry", _FIT + ";; SELECT " + ", ".join(f"round(mean_{c}, 6) AS mean_{c}, round(std_{c}, 6) AS std_{c}" for c in SENSORS) + " FROM fit")
+@query("m01_fit_scaler", "telemetry", _FIT + ";; SELECT " + ", ".join(f"round(mean_{c}, 8) AS mean_{c}, round(std_{c}, 8) AS std_{c}" for c in SENSORS) + " FROM fit")
 def _(v):
     out = SC.fit_scaler(v.telemetry(), SENSORS)
-    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+    return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
 
 
 @query("m02_apply_scaler", "telemetry", _FIT + ";; SELECT machine_id, datetime, " + ", ".join(f"round(({c} - mean_{c}) / std_{c}, 6) AS {c}" for c in SENSORS) + " FROM telemetry, fit")

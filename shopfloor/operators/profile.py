@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,15 +205,19 @@ def time_coverage(df: DataFrame, s: Series) -> DataFrame:
     return span.join(median, list(s.keys), "left")
 
 
-def column_report(tables: Mapping[str, DataFrame], samples: int = 3) -> DataFrame:
+def column_report(tables: Mapping[str, DataFrame | Callable[[], DataFrame]], samples: int = 3) -> DataFrame:
     """Row counts, ranges, samples and status of every column of every table.
 
-    One aggregation per table. A table that cannot be read is reported, not raised.
+    One aggregation per table. Tables may be given as functions that open them; one that
+    cannot be opened is reported, not raised.
     """
     report = None
-    for name, df in tables.items():
-        part = _table_report(name, df, samples)
-        report = part if report is None else report.unionByName(part)
+    for name, table in tables.items():
+        try:
+            part = _table_report(name, table() if callable(table) else table, samples)
+        except AnalysisException as problem:
+            part = unreadable_report(SparkSession.active(), name, str(problem))
+        report = part if report is None else report.unionByName(part, allowMissingColumns=True)
     status = (
         F.when(F.col("rows").isNull(), STATUS_UNREADABLE)
         .when(F.col("rows") == 0, STATUS_EMPTY)
@@ -252,7 +257,9 @@ def _table_report(name: str, df: DataFrame, samples: int) -> DataFrame:
 def unreadable_report(spark, table: str, problem: str) -> DataFrame:
     """Report row of a table that could not be opened."""
     return spark.createDataFrame(
-        [(table, NOT_AVAILABLE, STATUS_UNREADABLE + ": " + problem[:100])], "table string, column string, sample_values string"
+        [(table, NOT_AVAILABLE, NOT_AVAILABLE, None, None, None, None, f"{STATUS_UNREADABLE}: {problem[:100]}")],
+        """table string, column string, type string, rows long, non_null long, min_value string, max_value string,
+        sample_values string""",
     )
 
 

@@ -88,3 +88,10 @@ def test_unify_target_defaults(spark):
     df = spark.createDataFrame([(100.0,), (90.0,), (None,)], "target_valve_condition double")
     got = [r["target_risk"] for r in machine_etl.unify_target(df, "press_brake").collect()]
     assert got == [0, 1, 1]
+
+
+def test_report_goes_on_after_an_unreadable_table(spark, tmp_path):
+    tables_ = {"gone": lambda: spark.read.parquet(str(tmp_path / "gone")), "here": spark.range(3)}
+    got = {r["table"]: r for r in profile.column_report(tables_).collect()}
+    assert got["gone"]["status"] == profile.STATUS_UNREADABLE and got["gone"]["rows"] is None
+    assert got["here"]["status"] == profile.STATUS_COMPLETE and got["here"]["sample_values"] == "0, 1, 2"

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-#: Words and fragments a worker remembers before it starts afresh; bounds its memory to about 250 MB.
-REMEMBERED = 400_000
+#: Words and fragments a worker remembers before it starts afresh; bounds its memory to about 120 MB.
+REMEMBERED = 200_000
 #: White space as Unicode defines it; Python's own split() also cuts at four control characters.
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _EXTRA = re.compile("[\x1c-\x1f]")
@@ -45,11 +45,11 @@ _STEPS = [
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b for b in _VISIBLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(_VISIBLE))}
 #: Characters of text handled at once.
-_AT_ONCE = 4_000_000
+_AT_ONCE = 2_000_000
 
 
-class ForcedBoundaryCodec:
-    """Encoder and decoder of one vocabulary file, one per Python worker."""
+class ForcedBoundaryEncoder:
+    """Encoder of one vocabulary file, one per Python worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,8 +59,8 @@ class ForcedBoundaryCodec:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        whole = Tokenizer.from_file(path)
-        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        steps = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normalizer, self.pre_tokenizer = steps.normalizer, steps.pre_tokenizer
         self.end = model["end_of_word_suffix"] or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         last = {"end_of_word_suffix": self.end} if self.end else {}
@@ -73,7 +73,6 @@ class ForcedBoundaryCodec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.splitter = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
-        self.tokens = dict(map(reversed, model["vocab"].items())) | {i: t for t, i in self.special.items()}
         self.always = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
         self.known: dict[str, bytes] = dict(self.always)
         self.inners: dict[str, bytes] = {}
@@ -142,18 +141,29 @@ class ForcedBoundaryCodec:
         get = self.known.__getitem__
         return [b"".join(map(get, row)) for row in rows]
 
+
+
+class Decoder:
+    """Token texts of one vocabulary file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
     def decode(self, ids: Iterable[bytes | None]) -> list[str]:
         token = self.tokens.__getitem__
         return [" ".join(map(token, memoryview(packed or b"").cast("I"))) for packed in ids]
 
 
-_CODECS: dict[str, ForcedBoundaryCodec] = {}
+_MADE: dict[tuple[type, str], ForcedBoundaryEncoder | Decoder] = {}
 
 
-def codec(path: str) -> ForcedBoundaryCodec:
-    if path not in _CODECS:
-        _CODECS[path] = ForcedBoundaryCodec(path)
-    return _CODECS[path]
+def _made(kind: type, path: str):
+    """The worker's encoder or decoder of a file; the two run in workers of their own, so each holds only what it needs."""
+    if (kind, path) not in _MADE:
+        _MADE[kind, path] = kind(path)
+    return _MADE[kind, path]
 
 
 def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -185,12 +195,12 @@ def _added(df: DataFrame, source: str, target: str, kind, make) -> DataFrame:
 
 def encode_column(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ``ids``: the token ids of ``text`` as packed little-endian unsigned 32-bit integers. Replaces a column of that name."""
-    return _added(df, text, ids, BinaryType(), lambda xs: pa.array(codec(path).encode(xs), pa.binary()))
+    return _added(df, text, ids, BinaryType(), lambda xs: pa.array(_made(ForcedBoundaryEncoder, path).encode(xs), pa.binary()))
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds ``decoded``: the tokens of packed ``ids``, special ones too, joined as the vocabulary file's library does."""
-    return _added(df, ids, decoded, StringType(), lambda xs: pa.array(codec(path).decode(xs), pa.string()))
+    return _added(df, ids, decoded, StringType(), lambda xs: pa.array(_made(Decoder, path).decode(xs), pa.string()))
 
 
 def token_digests(df: DataFrame, path: str) -> DataFrame:

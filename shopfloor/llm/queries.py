@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, urls
+from . import bpe, chat, decontaminate, ngram_join, urls
 from .common import table
 
 #: Folder of the public tokenizers' files.
@@ -27,7 +27,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls)
+    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join)
 }
-ORACLES: dict[str, str] = {"op9_chat": chat.SQL, "op10_urls": urls.SQL}
+ORACLES: dict[str, str] = {"op3_ngram_join": ngram_join.SQL, "op9_chat": chat.SQL, "op10_urls": urls.SQL}

@@ -263,7 +263,7 @@ def first_of_each(docs: DataFrame, **settings) -> DataFrame:
 SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\S+') AS w FROM documents),
 s AS (
-  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N} + 2), i -> array_to_string(w[i:i + {N} - 1], ' '))
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {N} THEN list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),

@@ -15,8 +15,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Maximal runs of characters other than white space; null or blank text has none."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE, -1))
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.array_remove(F.split(bare, SPACE, -1), "")
 
 
 def let(value: Column, body) -> Column:

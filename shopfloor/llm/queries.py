@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, ngram_join, spans, urls
+from . import bpe, chat, decontaminate, ngram_join, quality, spans, urls
 from .common import table
 
 #: Folder of the public tokenizers' files.
@@ -39,7 +39,11 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_columns(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join, op4_sentence_spans)
+    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join, op4_sentence_spans, op2_quality)
 }
 ORACLES: dict[str, str] = {"op4_sentence_spans": spans.SQL, "op3_ngram_join": ngram_join.SQL, "op9_chat": chat.SQL, "op10_urls": urls.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, ngram_join, quality, spans, urls
+from . import bpe, chat, decontaminate, lines, ngram_join, quality, spans, urls
 from .common import table
 
 #: Folder of the public tokenizers' files.
@@ -43,7 +43,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_columns(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join, op4_sentence_spans, op2_quality)
+    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join, op4_sentence_spans, op2_quality, op5_line_dedup)
 }
-ORACLES: dict[str, str] = {"op4_sentence_spans": spans.SQL, "op3_ngram_join": ngram_join.SQL, "op9_chat": chat.SQL, "op10_urls": urls.SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.SQL, "op4_sentence_spans": spans.SQL, "op3_ngram_join": ngram_join.SQL, "op9_chat": chat.SQL, "op10_urls": urls.SQL}

@@ -1,26 +1,55 @@
-"""A training-text pipeline over ``documents``: stages that each apply one text operator.
+"""A training-text pipeline over ``documents``: five stages that each apply one text operator.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's docs.
+Parquet and read again as the next stage's docs. All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shopfloor.llm import bpe
+from shopfloor.llm import bpe, decontaminate, lines, ngram_join, quality
 from shopfloor.llm.common import table
 from shopfloor.llm.queries import WORD_BPE
 from shopfloor.session import materialize
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a base rule, or whose likelihood ratio is below the threshold, go."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines equal or similar to an earlier one go, and with them documents of which nothing is left."""
+    kept = lines.without_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the least doc_id."""
+    return ngram_join.first_of_each(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(materialize(hits, "pipeline-hits"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of the token ids of every text that is left."""
+    """Token counts and the digests of ids and decoded text of every document left."""
     return bpe.token_digests(docs, WORD_BPE)
 
 
-STAGES = [("bpe_encoding", bpe_encoding)]
-#: No SQL for it: the encoder's merges cannot be expressed there.
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontamination", decontamination),
+    ("bpe_encoding", bpe_encoding),
+]
+#: None: SQL has neither the hash of the quality rules nor the merges of the encoder.
 ORACLE_SQL = None
 
 

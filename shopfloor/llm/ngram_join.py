@@ -257,7 +257,7 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, tre
 def first_of_each(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` without the rows that are near copies of another: of each class the least doc_id stays, once."""
     away = near_copies(docs.select("doc_id", "text"), **settings).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(materialize(away, "join-away"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return docs.join(materialize(away, "join-away"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 SQL = f"""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import let, require, words
+from .common import fresh, let, require, words
 
 BUCKETS = 1 << 16
 #: Added to every bucket's count.
@@ -121,14 +121,17 @@ def mean_ratio(places: Column, ratios: Column) -> Column:
 def scored(docs: DataFrame, ratios: DataFrame, n: int = BUCKETS) -> DataFrame:
     """``docs`` with the base counts, ``base_failed`` and ``score``."""
 
+    docs = docs.drop(*ADDED)
+    held, result = fresh(docs, "ratios", "result")
+
     def made(x: Column) -> Column:
         base = base_columns(F.col("text"), x["w"], x["h"], x["d"])
-        score = let(buckets(x["h"], x["d"], n), lambda b: mean_ratio(b, F.col("_ratios")))
+        score = let(buckets(x["h"], x["d"], n), lambda b: mean_ratio(b, F.col(held)))
         return F.struct(*[c.alias(name) for name, c in base.items()], score.alias("score"))
 
     coded = let(words(F.col("text")), lambda w: let(hashed(w), lambda h: F.struct(w.alias("w"), h.alias("h"), pairs(h).alias("d"))))
-    out = docs.drop(*ADDED).withColumn("_ratios", ratios.scalar()).withColumn("_made", let(coded, made)).drop("_ratios")
-    out = out.select("*", *[F.col(f"_made.{c}").alias(c) for c in ADDED if c not in ("base_failed", "kept")]).drop("_made")
+    out = docs.withColumn(held, ratios.scalar()).withColumn(result, let(coded, made)).drop(held)
+    out = out.select("*", *[F.col(f"{result}.{c}").alias(c) for c in ADDED if c not in ("base_failed", "kept")]).drop(result)
     return out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
@@ -170,7 +173,7 @@ def quality_columns(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    clash = [c for c in docs.columns if c in ADDED]
-    plain = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    own = dict(zip(docs.columns, fresh(docs, *[f"own_{k}" for k in range(len(docs.columns))]), strict=True))
+    plain = docs.withColumnsRenamed({c: name for c, name in own.items() if c in ADDED})
     kept = verdicts(plain, labels, plain.columns).where("kept").select(*plain.columns)
-    return kept.withColumnsRenamed({f"_own_{c}": c for c in clash})
+    return kept.toDF(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..session import materialize
-from .common import require
+from .common import fresh, require
 
 SENTENCES, WORDS = 3, 24
 _END = re.compile(r"[.!?][\x20\t-\r]+|\n[\x20\t-\r]*")
@@ -96,15 +96,16 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     """``docs`` with ``text`` cut down, and ``n_sentences``, ``n_removed`` and ``removed`` (start and end in code points)."""
     require(docs, "doc_id", "text")
     plain = docs.drop("n_sentences", "n_removed", "removed")
-    found = materialize(repeated_sentences(plain, sentences, words), "span-removals").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("starts").alias("_starts"))
-    held = plain.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_id", "_row")
+    of, row, starts = fresh(plain, "of", "row", "starts")
+    found = materialize(repeated_sentences(plain, sentences, words), "span-removals").toDF(of, row, starts)
+    held = plain.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(row)), "left").drop(of, row)
     names = plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                made = [cut(t, s) for t, s in zip(part.column("text").to_pylist(), part.column("_starts").to_pylist(), strict=True)]
+                made = [cut(t, s) for t, s in zip(part.column("text").to_pylist(), part.column(starts).to_pylist(), strict=True)]
                 columns = [pa.array([m[0] for m in made], pa.string()) if c == "text" else part.column(c) for c in names]
                 spans = pa.array([m[3] for m in made], pa.list_(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), spans], names=[*names, "n_sentences", "n_removed", "removed"])

@@ -62,11 +62,11 @@ def _(v):
 
 
 @query("j10_scalar_lookups", "machines catalog", SQL_COMPONENTS + """;; SELECT event_id, (SELECT max(machine_id) FROM machines) AS max_machine,
-  (SELECT comp_name FROM components WHERE machine_id = 6 AND comp_code = 'COMP1') AS comp_name FROM events WHERE user_id = 6""")
+  (SELECT comp_name FROM components WHERE machine_id = 6 AND comp_code = 'COMP1') AS comp_name FROM events""")
 def _(v):
     largest = v.machines().agg(F.max("machine_id")).scalar()
     name = A.component_id(components(v), [6], "COMP1").select("comp_name").scalar()
-    return v.table("events").filter("user_id = 6").select("event_id", largest.alias("max_machine"), name.alias("comp_name"))
+    return v.table("events").select("event_id", largest.alias("max_machine"), name.alias("comp_name"))
 
 
 @query("j11_component_alerts", ALERT_VIEWS, SQL_ALERTS + ";; SELECT machine_id, comp, comp_name, risk FROM alerts")
@@ -254,33 +254,31 @@ def origin_telemetry(v):
     return v.telemetry().withColumns({"original_datetime": F.col("datetime"), "original_machine_id": F.col("machine_id")})
 
 
-def recent_telemetry(v):
-    """Telemetry up to a tick that every machine reaches."""
-    return origin_telemetry(v).filter(F.col("datetime") <= F.lit("2024-01-20").cast("timestamp_ntz"))
-
-
 def status(v):
     return L.live_status(
-        v.machines(), components(v), metrics(v), L.sensor_windows(recent_telemetry(v)), stored_matrix(v),
+        v.machines(), components(v), metrics(v), L.sensor_windows(origin_telemetry(v)), stored_matrix(v),
         SC.fit_scaler(v.telemetry(), SENSORS), MODELS, NAMES, MEANS,
     )
 
 
-_UP_TO = "TIMESTAMP '2024-01-20'"
-SQL_STATUS = SQL_FEATURES + ", " + SQL_COMPONENTS + ", now AS (SELECT * FROM feat WHERE datetime = " + _UP_TO + "), risks AS (" + " UNION ALL ".join(
+SQL_STATUS = SQL_FEATURES + ", " + SQL_COMPONENTS + ", now AS (SELECT * FROM feat WHERE datetime = (SELECT max(datetime) FROM telemetry)), risks AS (" + " UNION ALL ".join(
     f"SELECT machine_id, '{c}' AS comp, {_softened(c)} AS risk FROM now" for c in COMPONENTS) + """),
   worst AS (SELECT machine_id, max(coalesce(risk, 0)) AS max_risk, CASE WHEN max(coalesce(risk, 0)) > 0 THEN
     arg_max(comp, (coalesce(risk, 0), -CAST(right(comp, 1) AS INT))) END AS worst_comp FROM components LEFT JOIN risks USING (machine_id, comp) GROUP BY machine_id),
+  said AS (SELECT machine_id, string_agg(comp || ' ' || CAST(CAST(round(coalesce(risk, 0)) AS BIGINT) AS VARCHAR), ', ' ORDER BY comp) AS alerts
+    FROM components LEFT JOIN risks USING (machine_id, comp) GROUP BY machine_id),
   load AS (SELECT machine_id, arg_max(load_percentage, (updated_at, event_id)) AS load_percentage FROM live_metrics GROUP BY machine_id),
-  status AS (SELECT m.machine_id, m.machine_type || ' #' || m.machine_id AS machine_name, m.location, round(max_risk, 4) AS max_risk, worst_comp, load_percentage,
+  status AS (SELECT m.machine_id, m.machine_type || ' #' || m.machine_id AS machine_name, m.location, round(max_risk, 4) AS max_risk, worst_comp, load_percentage, alerts,
+    CASE WHEN load_percentage < 50 THEN 1 WHEN load_percentage < 80 THEN 2 WHEN load_percentage IS NOT NULL THEN 3 END AS operation_level,
     CASE WHEN max_risk >= 85 THEN 'danger' WHEN max_risk >= 40 THEN 'warning' ELSE 'safe' END AS alert_level
-    FROM machines m LEFT JOIN worst USING (machine_id) LEFT JOIN load USING (machine_id))"""
+    FROM machines m LEFT JOIN worst USING (machine_id) LEFT JOIN said USING (machine_id) LEFT JOIN load USING (machine_id))"""
 STATUS_VIEWS = MATRIX_VIEWS + " catalog live_metrics"
 
 
 @query("t08_live_status", STATUS_VIEWS, SQL_STATUS + ";; SELECT * FROM status ORDER BY machine_id")
 def _(v):
-    out = status(v).drop("alerts", "explanations", "operation_level").withColumn("max_risk", F.round("max_risk", 4))
+    said = F.transform(F.array_sort(F.map_entries("alerts")), lambda e: F.concat_ws(" ", e["key"], F.round(F.coalesce(e["value"], F.lit(0.0))).cast("long").cast("string")))
+    out = status(v).drop("explanations").withColumns({"max_risk": F.round("max_risk", 4), "alerts": F.array_join(said, ", ")})
     return out.orderBy("machine_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import SENSORS
-from ..fixtures import EVENTS, TELEMETRY
+from ..fixtures import EVENTS, TELEMETRY, feed
 from ..functions.scalars import operation_level, risk_tier, to_payload
 from ..operators.machine_etl import press_brake_features
 from ..session import new_path
@@ -20,9 +20,23 @@ from .registry import query
 CUTS = ["2024-01-08", "2024-01-16", "2024-01-24"]
 
 
-def replayed(v, df, ts, label):
-    path = sources.land_in_order(df, ts, CUTS, label)
-    return sources.file_stream(v.spark, path, df.schema)
+def fed(v, df, ts, label, start):
+    """Start the job anew after each part of the feed has arrived."""
+    for path in feed(df, ts, CUTS, label):
+        start(sources.file_stream(v.spark, path, df.schema))
+
+
+def appended(v, df, ts, label, make):
+    """All rows that an append job puts out over several starts."""
+    folder, schema = new_path(v.spark, label), []
+
+    def start(stream):
+        out = make(stream)
+        schema.append(out.schema)
+        jobs.stream_to_table(out, folder)
+
+    fed(v, df, ts, f"{label}-feed", start)
+    return jobs.table(v.spark, folder, schema[0])
 
 
 def scores(v):
@@ -48,10 +62,10 @@ def _(v):
     return files.read_matrix(v.spark, path).select("cycle_id", F.size("samples").alias("n"), F.round(total, 5).alias("total"))
 
 
-@query("s04_read_whitespace", "", """SELECT CAST(o_orderkey AS DOUBLE) AS "Col_1", CAST(o_custkey AS DOUBLE) AS "Col_2", o_totalprice AS "Col_3" FROM orders""")
+@query("s04_read_whitespace", "", """SELECT CAST(o_orderkey AS DOUBLE) AS "Col_1", CAST(o_custkey AS DOUBLE) AS "Col_2", o_totalprice AS "Col_3", o_orderstatus AS "Col_4", o_orderpriority AS "Col_5" FROM orders""")
 def _(v):
     path = new_path(v.spark, "whitespace")
-    v.table("orders").select(F.concat_ws("   ", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_totalprice")]).alias("value")).write.text(path)
+    v.table("orders").select(F.concat_ws("   ", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")]).alias("value")).write.text(path)
     return files.read_whitespace(v.spark, path)
 
 
@@ -77,17 +91,15 @@ def _(v):
 def _(v):
     """Stream with the JSON payload parsed into columns."""
     raw = v.table("events").select("event_id", F.col("user_id").alias("machine_id"), "ts", "value", "props")
-    parsed = sources.telemetry_stream(replayed(v, raw, "ts", "raw"), "props", "k int")
-    return jobs.stream_to_table(parsed, "parsed")
+    return appended(v, raw, "ts", "parsed", lambda stream: sources.telemetry_stream(stream, "props", "k int"))
 
 
 @query("t02_dedup_stream", "ev", "SELECT DISTINCT machine_id, date_trunc('hour', ts)::TIMESTAMP AS hour FROM ev")
 def _(v):
     """One row per machine and hour within the watermark."""
     rows = v.ev().select("machine_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
-    path = sources.land_in_order(rows, "hour", CUTS, "hours")
-    stream = sources.with_event_time(sources.file_stream(v.spark, path, rows.schema), "hour", ["machine_id"], "2 days")
-    return jobs.stream_to_table(stream, "deduplicated").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    once = appended(v, rows, "hour", "deduplicated", lambda stream: sources.with_event_time(stream, "hour", ["machine_id"], "2 days"))
+    return once.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query("t03_live_windows", "ev", """
@@ -97,7 +109,9 @@ def _(v):
 def _(v):
     """Windows emitted over several micro-batches equal those of one batch."""
     rows = v.ev().select("event_id", "machine_id", "ts", "value", "k")
-    out = jobs.live_windows(replayed(v, rows, "ts", "ticks"), EVENTS, ["value", "k"])
+    job = jobs.live_windows(rows.schema, EVENTS, ["value", "k"], new_path(v.spark, "live-windows"))
+    fed(v, rows, "ts", "ticks", job.start)
+    out = job.result(v.spark)
     weighted = F.transform("window", lambda x, i: x[0] * (i + 1))
     return out.select(
         "event_id", "machine_id", "ts", F.size("window").alias("n"),
@@ -107,7 +121,9 @@ def _(v):
 
 @query("t04_alert_states", "scores", SQL_HISTORY + ";; SELECT * FROM shown")
 def _(v):
-    out = jobs.alert_states(replayed(v, scores(v), "ts", "scores"), EVENTS)
+    job = jobs.alert_states(scores(v).schema, EVENTS, new_path(v.spark, "alert-states"))
+    fed(v, scores(v), "ts", "scores", job.start)
+    out = job.result(v.spark)
     return out.withColumns({c: F.round(c, 6) for c in ("trend", "display_risk")})
 
 
@@ -115,18 +131,20 @@ def _(v):
 def _(v):
     """The same states from Spark's state store."""
     rows = scores(v).withColumn("ts", F.col("ts").cast("timestamp"))
-    path = sources.land_in_order(rows, "ts", CUTS, "scores")
-    out = jobs.stream_to_table(state.alert_state(sources.file_stream(v.spark, path, rows.schema)), "stored-alerts")
+    out = appended(v, rows, "ts", "stored-alerts", state.alert_state)
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumns({c: F.round(c, 6) for c in ("trend", "display_risk")})
 
 
 @query("t05_enrich_stream", "scores machines", """SELECT s.event_id, s.machine_id, s.risk, coalesce(m.model, 'N/A') AS model, coalesce(m.age, -1) AS age,
   coalesce(m.machine_type, 'N/A') AS machine_type FROM scores s LEFT JOIN machines m USING (machine_id)""")
 def _(v):
-    stream = replayed(v, scores(v), "ts", "scores")
-    out = jobs.enrich(stream, v.machines().select("machine_id", "model", "age", "machine_type"), None)
-    filled = out.select("event_id", "machine_id", "risk", "model", "age", "machine_type").na.fill("N/A").na.fill(-1, ["age"])
-    return jobs.stream_to_table(filled, "enriched")
+    machines = v.machines().select("machine_id", "model", "age", "machine_type")
+
+    def make(stream):
+        out = jobs.enrich(stream, machines, None).select("event_id", "machine_id", "risk", "model", "age", "machine_type")
+        return out.na.fill("N/A").na.fill(-1, ["age"])
+
+    return appended(v, scores(v), "ts", "enriched", make)
 
 
 @query("t06_upsert_latest", "live_metrics", """SELECT machine_id, event_id, load_percentage, CASE WHEN load_percentage < 50 THEN 1
@@ -134,11 +152,15 @@ def _(v):
   QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY updated_at DESC, event_id DESC) = 1""")
 def _(v):
     rows = v.live_metrics().withColumn("operation_level", operation_level(F.col("load_percentage")))
-    return jobs.upsert_latest(replayed(v, rows, "updated_at", "metrics"), ["machine_id"], ["updated_at", "event_id"])
+    folder = new_path(v.spark, "latest")
+    fed(v, rows, "updated_at", "metrics", lambda stream: jobs.upsert_latest(stream, ["machine_id"], ["updated_at", "event_id"], folder))
+    return jobs.latest(v.spark, folder, rows.schema)
 
 
 @query("t07_write_predictions", "predictions", """SELECT event_id, machine_id, comp, time, risk_probability, CASE WHEN risk_probability > 80 THEN 'danger'
   WHEN risk_probability > 40 THEN 'warning' WHEN risk_probability > 15 THEN 'watch' ELSE 'safe' END AS reason FROM predictions""")
 def _(v):
     rows = v.predictions().drop("is_verified_true").withColumn("reason", risk_tier(F.col("risk_probability")))
-    return jobs.write_predictions(replayed(v, rows, "time", "scored")).drop("event_date")
+    folder = new_path(v.spark, "predictions")
+    fed(v, rows, "time", "scored", lambda stream: jobs.write_predictions(stream, folder))
+    return jobs.table(v.spark, folder, rows.schema)

@@ -24,10 +24,10 @@ def _(v):
 
 
 @query("w01_rolling_sum_hours", "ev", """
-  SELECT event_id, machine_id, ts, round(sum(value) OVER (PARTITION BY machine_id ORDER BY date_trunc('second', ts)
-    RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW), 4) AS value_24h FROM ev""")
+  SELECT event_id, machine_id, ts, round(sum(value) OVER (PARTITION BY machine_id ORDER BY ts
+    RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW), 4) AS value_24h FROM ev""")
 def _(v):
-    """Clock-time variant on irregular events, to the second."""
+    """Clock-time variant on irregular events."""
     rows = v.ev().select("event_id", "machine_id", "ts", "value")
     out = TS.rolling_sum_hours(rows, EVENTS, ["value"], 24, "_24h").drop("value")
     return out.withColumn("value_24h", F.round("value_24h", 4))
@@ -102,15 +102,11 @@ def _(v):
     return TS.interpolate(gappy(v), EVENTS, ["value"]).withColumn("value", F.round("value", 6))
 
 
-@query("w15_progress_drift", "telemetry", """
-  p AS (SELECT *, (row_number() OVER (PARTITION BY machine_id ORDER BY datetime) - 1)
-      / greatest(1, count(*) OVER (PARTITION BY machine_id) - 1) AS progress FROM telemetry);;
-  SELECT machine_id, datetime, round(progress, 6) AS progress, round(pressure + progress ** 2 * 30, 6) AS pressure,
-    round(vibration + progress ** 2 * 20, 6) AS vibration, round(rotate - progress ** 2 * 40, 6) AS rotate FROM p""")
+@query("w15_progress", "telemetry", """
+  SELECT machine_id, datetime, round((row_number() OVER (PARTITION BY machine_id ORDER BY datetime) - 1)
+      / greatest(1, count(*) OVER (PARTITION BY machine_id) - 1), 6) AS progress FROM telemetry""")
 def _(v):
-    rows = TS.progress(v.telemetry().drop("volt"), TELEMETRY)
-    out = TS.apply_drift(rows, {"pressure": 30.0, "vibration": 20.0, "rotate": -40.0})
-    return out.withColumns({c: F.round(c, 6) for c in ("progress", "pressure", "vibration", "rotate")})
+    return TS.progress(v.telemetry().select(*TELEMETRY.keys, "datetime"), TELEMETRY).withColumn("progress", F.round("progress", 6))
 
 
 _LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]

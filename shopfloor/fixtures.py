@@ -6,14 +6,14 @@ Each view exists twice: as a DataFrame builder for ``queries()`` and as a SQL te
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import COMPONENT_CATALOG
 from .operators.series import DAY, Series, ordinal
-from .session import materialize
+from .session import materialize, new_path
 
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 
@@ -228,3 +228,18 @@ def with_views(names: str, body: str) -> str:
     *extra, final = body.split(";;")
     parts += [e.strip() for e in extra]
     return (f"WITH {', '.join(parts)} " if parts else "") + final.strip()
+
+
+def feed(df: DataFrame, ts: str, bounds: Sequence[str], label: str) -> Iterator[str]:
+    """A test feed: appends the rows between ``bounds`` one after the other and gives the folder after each."""
+    path = new_path(df.sparkSession, label)
+    kind = df.schema[ts].dataType
+    edges = [None, *bounds, None]
+    for lo, hi in zip(edges, edges[1:]):
+        part = df
+        if lo is not None:
+            part = part.filter(F.col(ts) >= F.lit(lo).cast(kind))
+        if hi is not None:
+            part = part.filter(F.col(ts) < F.lit(hi).cast(kind))
+        part.write.mode("append").parquet(path)
+        yield path

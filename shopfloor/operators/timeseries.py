@@ -53,14 +53,14 @@ def rolling_std(
 
 
 def rolling_sum_hours(df: DataFrame, s: Series, cols: Sequence[str], hours: int, suffix: str = "") -> DataFrame:
-    """Sum over the last ``hours`` hours by clock time, for irregular grids.
+    """Sum over the last ``hours`` hours by clock time to the microsecond, for irregular grids.
 
     The frame is a time range, so each row is copied into every slice its value can reach.
     """
-    span = hours * 3600
-    when = position(df, s.order[0])
+    span = hours * 3600 * 1_000_000
+    when = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{s.order[0]}`)")
     rows = with_slice(df, s)
-    reach = F.floor((when + span - 1) / F.lit(float(s.width))).cast("long")
+    reach = F.floor((when + span - 1) / F.lit(s.width * 1e6)).cast("long")
     copies = (
         rows.select(*s.sliced, *s.order, *cols)
         .withColumn("_to", reach)
@@ -218,11 +218,6 @@ def progress(df: DataFrame, s: Series, out: str = "progress") -> DataFrame:
     return numbered.withColumn(out, F.col("_i") / F.greatest(F.lit(1), F.col("_n") - 1)).drop("_i", "_n")
 
 
-def apply_drift(df: DataFrame, amplitudes: dict[str, float], by: str = "progress") -> DataFrame:
-    """Add a quadratic drift reaching ``amplitudes`` at full progress."""
-    return df.withColumns({c: F.col(c) + F.pow(by, F.lit(2)) * a for c, a in amplitudes.items()})
-
-
 def slice_by_ordinal(df: DataFrame, s: Series, n: int = 51, seed: int = 0) -> DataFrame:
     """``n`` consecutive rows per series, from a start chosen by key and seed; shorter series drop out."""
     numbered = ordinal(df, s, "_i", "_n")

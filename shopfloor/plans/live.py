@@ -26,9 +26,14 @@ def _floats(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def lookup_erp(scored: DataFrame, erp: DataFrame, key: str = "machine_id", ts: str = "datetime") -> DataFrame:
-    """Rows with the state at exactly their origin machine and time; without a match they drop out."""
-    state = erp.withColumnsRenamed({key: "original_machine_id", ts: "original_datetime"})
+def lookup_erp(scored: DataFrame, erp: DataFrame, key: str = "machine_id", ts: str = "datetime", order: Sequence[str] = ()) -> DataFrame:
+    """Rows with the state at exactly their origin machine and time; without a match they drop out.
+
+    Of several states at one machine and time the last by ``order`` wins, then the greatest by value.
+    """
+    rest = [c for c in erp.columns if c not in (key, ts)]
+    last = erp.groupBy(key, ts).agg(F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("_state")).select(key, ts, "_state.*")
+    state = last.withColumnsRenamed({key: "original_machine_id", ts: "original_datetime"})
     return scored.join(state, ["original_machine_id", "original_datetime"])
 
 

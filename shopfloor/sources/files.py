@@ -34,31 +34,37 @@ def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return numbered.select("cycle_id", samples.alias("samples"))
 
 
-def read_whitespace(spark: SparkSession, path: str, columns: int | None = None) -> DataFrame:
-    """Whitespace-separated lines as columns ``Col_1..n``; the first line gives n when not stated."""
+def read_whitespace(spark: SparkSession, path: str, columns: int | None = None, ragged: str = "null") -> DataFrame:
+    """Whitespace-separated lines as columns ``Col_1..n``.
+
+    The widest line gives n when not stated. Shorter lines end in NULLs, or with ``ragged='error'`` are refused, as lines
+    wider than a stated n always are. A column is double if all its values are numbers, else it stays text.
+    """
     parts = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    if columns is None:
-        first = lines.select(F.size(parts).alias("n")).first()
-        columns = first["n"] if first else 0
-    return lines.select(*[F.get(parts, F.lit(i)).try_cast("double").alias(f"Col_{i + 1}") for i in range(columns)])
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(parts.alias("_p"))
+    least, widest = lines.agg(F.min(F.size("_p")), F.max(F.size("_p"))).first()
+    width = (widest or 0) if columns is None else columns
+    if (widest or 0) > width or ragged == "error" and least is not None and least < width:
+        raise ValueError(f"lines of {least} to {widest} values where {width} are expected")
+    value = [F.get("_p", F.lit(i)) for i in range(width)]
+    if not value:
+        return lines.select()
+    texts = lines.agg(*[F.count_if(v.isNotNull() & v.try_cast("double").isNull()) for v in value]).first()
+    return lines.select(*[(v if n else v.try_cast("double")).alias(f"Col_{i + 1}") for i, (v, n) in enumerate(zip(value, texts, strict=True))])
 
 
 def scan_tree(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """All ``.csv`` and ``.txt`` files below a folder.
 
-    Returns one status row per file and the readable frames by path. Only names and sizes
-    are listed; one unreadable file does not stop the others. Files of zero bytes do not appear.
+    Returns one status row per file and the readable frames by path. Only names and sizes are listed, by the file system,
+    so that empty files appear, too; one unreadable file does not stop the others.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,txt}")
-        .load(root).select("path", "length").orderBy("path")
-    )
     frames: dict[str, DataFrame] = {}
     status = []
-    for row in listed.toLocalIterator():  # names only; each file has its own schema
-        path = row["path"]
+    for path, size in _listed(spark, root):  # names only; each file has its own schema
         try:
+            if size == 0:
+                raise ValueError("empty file")
             if path.endswith(".csv"):
                 frame = spark.read.option("header", True).option("inferSchema", True).csv(path)
             else:
@@ -66,12 +72,25 @@ def scan_tree(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, Data
             if not frame.columns:
                 raise ValueError("no columns")
             frames[path] = frame
-            status.append((path, row["length"], len(frame.columns), "ok"))
+            status.append((path, size, len(frame.columns), "ok"))
         except Exception as problem:  # noqa: BLE001  reported per file
-            status.append((path, row["length"], 0, f"error: {str(problem)[:100]}"))
+            status.append((path, size, 0, f"error: {problem}"))
     return spark.createDataFrame(status, "path string, bytes long, columns int, status string"), frames
 
 
+def _listed(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(root)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+    files = []
+    while found.hasNext():
+        status = found.next()
+        path = status.getPath().toString()
+        if path.endswith((".csv", ".txt")):
+            files.append((path, status.getLen()))
+    return sorted(files)
+
+
 def read_optional(read: Callable[[str], DataFrame], paths: Mapping[str, str], required: str | None = None) -> dict[str, DataFrame] | None:
     """Readable sources by name; absent ones are left out, an absent ``required`` one gives None."""
     found = {}

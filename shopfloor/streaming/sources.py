@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_path
 
-
-def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
-    """Parquet folder as a stream; the file limit bounds every micro-batch."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
+    """Parquet folder as a stream; a file limit, if given, bounds every micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
@@ -30,18 +30,3 @@ def with_event_time(stream: DataFrame, ts: str, keys: Sequence[str], delay: str)
     """Event time with a watermark; repeated (key, time) rows dropped within it."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     return timed.dropDuplicatesWithinWatermark([*keys, ts])
-
-
-def land_in_order(df: DataFrame, ts: str, bounds: Sequence[str], label: str) -> str:
-    """Write rows as successive appends split at ``bounds``, to be replayed in time order."""
-    path = new_path(df.sparkSession, label)
-    kind = df.schema[ts].dataType
-    edges = [None, *bounds, None]
-    for lo, hi in zip(edges, edges[1:]):
-        part = df
-        if lo is not None:
-            part = part.filter(F.col(ts) >= F.lit(lo).cast(kind))
-        if hi is not None:
-            part = part.filter(F.col(ts) < F.lit(hi).cast(kind))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path

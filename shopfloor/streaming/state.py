@@ -10,51 +10,46 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..constants import DANGER_AT, TREND_ROWS, WARNING_AT
+from ..constants import TREND_ROWS
+from ..operators import alerts as A
 
-OUTPUT = "machine_id long, ts timestamp, event_id long, risk double, trend double, alert_level string, display_risk double"
+OUTPUT = "machine_id long, ts timestamp, event_id long, risk double, trend double"
 
 
-def shown(risk: float, trend: float) -> tuple[str, float]:
-    """Level and shown risk of one tick."""
-    if risk >= DANGER_AT:
-        return "danger", min(100.0, risk * 1.05) if trend > 5 else risk
-    if risk >= WARNING_AT:
-        return "warning", max(WARNING_AT, min(risk, DANGER_AT - 1))
-    if trend > 2 and risk > 20:
-        return "safe", min(WARNING_AT - 1, risk * 1.1)
-    return "safe", risk
+STATE = "risks array<double>"
 
 
-STATE = "risks array<double>"
-DAYS_TO_LIVE = 90
-
-
-def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Shown state of every new tick of one machine; silent machines expire."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    batch = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-    past = list(state.get[0]) if state.exists else []
-    out = []
-    for row in batch.itertuples(index=False):
-        past = [*past, float(row.risk)][-TREND_ROWS:]
-        trend = (past[2] - past[0]) / 2 if len(past) == TREND_ROWS else 0.0
-        out.append((key[0], row.ts, row.event_id, row.risk, trend, *shown(float(row.risk), trend)))
-    state.update((past,))
-    newest = int(batch["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + DAYS_TO_LIVE * 86_400_000)
-    yield pd.DataFrame(out, columns=["machine_id", "ts", "event_id", "risk", "trend", "alert_level", "display_risk"])
-
-
-def alert_state(stream: DataFrame, delay: str = "7 days") -> DataFrame:
+def advance(days_to_live: int | None):
+    """The update of one machine: its last risks go before the batch's, and three shifts give every trend."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        batch = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        past = list(state.get[0]) if state.exists else []
+        risks = pd.Series([*past, *batch["risk"].astype(float)])
+        trend = ((risks - risks.shift(TREND_ROWS - 1)) / 2).fillna(0.0)
+        state.update((risks.tail(TREND_ROWS - 1).tolist(),))
+        if days_to_live is not None:
+            newest = int(batch["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + days_to_live * 86_400_000)
+        out = batch[["ts", "event_id", "risk"]].assign(machine_id=key[0], trend=trend.iloc[len(past) :].to_numpy())
+        yield out[["machine_id", "ts", "event_id", "risk", "trend"]]
+
+    return step
+
+
+def alert_state(stream: DataFrame, delay: str = "7 days", days_to_live: int | None = None) -> DataFrame:
     """Stateful stream of ``(machine_id, ts, event_id, risk)`` rows with event time ``ts``.
 
-    Expiry follows event time: a processing-time timeout keeps an ``availableNow`` run alive.
+    Levels and shown risks are the batch expressions over the trend. With ``days_to_live`` the history of a machine silent
+    for so long is dropped and its next trend starts anew; by default histories stay. Expiry follows event time: a
+    processing-time timeout keeps an ``availableNow`` run alive.
     """
-    return stream.withWatermark("ts", delay).groupBy("machine_id").applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    timeout = GroupStateTimeout.NoTimeout if days_to_live is None else GroupStateTimeout.EventTimeTimeout
+    trends = stream.withWatermark("ts", delay).groupBy("machine_id").applyInPandasWithState(advance(days_to_live), OUTPUT, STATE, "append", timeout)
+    return trends.withColumns({"alert_level": A.alert_level(F.col("risk")), "display_risk": A.display_risk(F.col("risk"), F.col("trend"))})

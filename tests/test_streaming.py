@@ -5,10 +5,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from shopfloor.fixtures import feed
 from shopfloor.operators.series import Series
-from shopfloor.operators.windows import latest_per_key
+from shopfloor.operators.windows import latest_per_key, sequences
 from shopfloor.plans.live import alert_history
-from shopfloor.streaming import jobs, sources
+from shopfloor.session import new_path
+from shopfloor.streaming import jobs, sources, state
 
 T0 = datetime(2024, 1, 1)
 S = Series(("machine_id",), ("ts", "event_id"), 3 * 3600)
@@ -20,24 +22,66 @@ def scores(spark):
     return spark.createDataFrame(rows, "event_id long, machine_id long, ts timestamp_ntz, risk double")
 
 
-@pytest.mark.parametrize("cuts", [["2024-01-01 05:00:00"], ["2024-01-01 00:10:00", "2024-01-01 20:00:00"]])
-def test_alerts_do_not_depend_on_batches(spark, scores, cuts):
-    path = sources.land_in_order(scores, "ts", cuts, "scores")
-    got = jobs.alert_states(sources.file_stream(spark, path, scores.schema), S)
-    want = alert_history(scores, S)
+def same(got, want):
     cols = sorted(want.columns)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
+@pytest.mark.parametrize("cuts", [["2024-01-01 05:00:00"], ["2024-01-01 00:10:00", "2024-01-01 20:00:00"]])
+def test_alerts_do_not_depend_on_batches(spark, scores, cuts):
+    job = jobs.alert_states(scores.schema, S, new_path(spark, "alerts"), delay="2 hours")
+    for path in feed(scores, "ts", cuts, "scores"):
+        job.start(sources.file_stream(spark, path, scores.schema))
+    same(job.result(spark), alert_history(scores, S))
+    assert job.late(spark) == 0
+
+
+def test_a_stopped_job_goes_on_and_takes_late_rows(spark, scores):
+    path, folder = new_path(spark, "feed"), new_path(spark, "alerts")
+    parts = ["event_id <= 40 AND event_id <> 33", "event_id = 33 OR event_id BETWEEN 41 AND 80", "event_id > 80"]
+    for part in parts:
+        scores.filter(part).write.mode("append").parquet(path)
+        job = jobs.alert_states(scores.schema, S, folder, delay="6 hours")
+        query = job.start(sources.file_stream(spark, path, scores.schema))
+        assert not query.isActive
+    same(job.result(spark), alert_history(scores, S))
+    scores.filter("event_id = 3").withColumn("event_id", F.lit(900).cast("long")).write.mode("append").parquet(path)
+    job.start(sources.file_stream(spark, path, scores.schema))
+    same(job.result(spark), alert_history(scores, S))
+    assert job.late(spark) == 1
+
+
+def test_windows_take_late_rows(spark, scores):
+    path, folder = new_path(spark, "feed"), new_path(spark, "windows")
+    job = jobs.live_windows(scores.schema, S, ["risk"], folder, n=5, delay="6 hours")
+    for part in ("event_id <= 40 AND event_id <> 33", "event_id = 33 OR event_id > 40"):
+        scores.filter(part).write.mode("append").parquet(path)
+        job.start(sources.file_stream(spark, path, scores.schema))
+    same(job.result(spark).select("event_id", "window"), sequences(scores, S, ["risk"], 5).select("event_id", "window"))
+
+
 def test_upsert_keeps_latest(spark, scores):
-    path = sources.land_in_order(scores, "ts", ["2024-01-01 05:00:00", "2024-01-01 12:00:00"], "scores")
-    got = jobs.upsert_latest(sources.file_stream(spark, path, scores.schema), ["machine_id"], ["ts", "event_id"])
-    want = latest_per_key(scores, ["machine_id"], ["ts", "event_id"]).select(got.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    folder = new_path(spark, "latest")
+    for path in feed(scores, "ts", ["2024-01-01 05:00:00", "2024-01-01 12:00:00"], "scores"):
+        jobs.upsert_latest(sources.file_stream(spark, path, scores.schema), ["machine_id"], ["ts", "event_id"], folder)
+    same(jobs.latest(spark, folder, scores.schema), latest_per_key(scores, ["machine_id"], ["ts", "event_id"]).select(scores.columns))
+
+
+def test_state_store_equals_the_batch_twin(spark, scores):
+    timed = scores.withColumn("ts", F.col("ts").cast("timestamp"))
+    for days in (None, 30):
+        folder = new_path(spark, "stored")
+        for path in feed(timed, "ts", ["2024-01-01 12:00:00"], "scores"):
+            out = state.alert_state(sources.file_stream(spark, path, timed.schema), days_to_live=days)
+            jobs.stream_to_table(out, folder)
+        got = jobs.table(spark, folder, out.schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        same(got, alert_history(scores, S))
 
 
 def test_repeated_rows_are_dropped(spark, scores):
     twice = scores.unionByName(scores).select("machine_id", "ts")
-    path = sources.land_in_order(twice, "ts", ["2024-01-01 12:00:00"], "twice")
-    stream = sources.with_event_time(sources.file_stream(spark, path, twice.schema), "ts", ["machine_id"], "1 day")
-    assert jobs.stream_to_table(stream, "once").count() == scores.count()
+    folder = new_path(spark, "once")
+    for path in feed(twice, "ts", ["2024-01-01 12:00:00"], "twice"):
+        stream = sources.with_event_time(sources.file_stream(spark, path, twice.schema), "ts", ["machine_id"], "1 day")
+        jobs.stream_to_table(stream, folder)
+    assert jobs.table(spark, folder, stream.schema).count() == scores.count()

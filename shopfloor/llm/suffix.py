@@ -3,10 +3,11 @@ r"""Substring dedup on bytes: remove what any 200-byte string covers that starts
 Sorting all suffixes moves every byte of the corpus many times over (see the README for figures). Here strings meet at anchors
 that their own bytes choose, so only places with a repeated neighbourhood are ever moved.
 
-* Byte p is a boundary if the hash of the eight bytes up to p ends a run (one in 32 does), or if none of the last 64 bytes was
-  one. That is decided by the last 71 bytes alone. The anchor of a 200-byte window at i is its first boundary from i + 71 on;
-  it lies at i + 134 at the latest. Equal windows have their anchors at equal offsets.
-* Every window of an anchor p holds the bytes p - 71 to p + 65. Anchors are grouped by a hash of these; groups of one place are
+* Byte p is a boundary if the hash of the eight bytes up to p is the least, the last one of equals, of some 64 places in a row
+  that hold p. That is decided by the 70 bytes before p and the 63 behind it, and no 64 places in a row have none. The anchor of
+  a 200-byte window at i is its first boundary from i + 70 on; it lies at i + 133 at the latest, so what decides it lies in the
+  window, and equal windows have their anchors at equal offsets.
+* Every window of an anchor p holds the bytes p - 70 to p + 66. Anchors are grouped by a hash of these; groups of one place are
   dropped. Whole copies of a text count as one text, since all their bytes go anyway.
 * For the anchors left, 263 bytes around each are brought together by group and the windows are compared. Groups of more than
   ``MANY`` places are compared by one row per window instead, which Spark can split and count before the shuffle.
@@ -29,8 +30,8 @@ from .common import require
 
 LENGTH = 200
 #: Distances of a window's start from its anchor, and bytes that all of an anchor's windows hold around it.
-NEAR, FAR, AFTER = 71, 134, 65
-GAP = 64
+NEAR, FAR, AFTER = 70, 133, 66
+PLACES = 64
 #: Places of a neighbourhood above which windows are compared as rows, and anchors compared at once.
 MANY, AT_ONCE = 2_000, 4_000
 #: Words of 64 bits in the map of texts to read again, a table of fixed size.
@@ -52,14 +53,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def boundaries(data: np.ndarray) -> np.ndarray:
-    """Boundaries of a text of bytes, in order."""
-    n = len(data)
-    eights = np.ndarray((n - 7,), "<u8", data.tobytes(), strides=(1,))
-    ends = np.flatnonzero(((eights * np.uint64(_BASE)) >> np.uint64(59)) == 0) + 7
-    before, after = np.append(6, ends), np.append(ends, n)
-    wide = np.flatnonzero(after - before > GAP)
-    more = [np.arange(before[k] + GAP, after[k]) for k in wide]
-    return np.sort(np.concatenate([ends, *more])) if more else ends
+    """Boundaries of a text of bytes, in order: the least hash of every 64 places, by running minima of blocks from both sides."""
+    n = len(data) - 7
+    eights = np.ndarray((n,), "<u8", data.tobytes(), strides=(1,))
+    hashed = eights * np.uint64(_BASE)
+    place = np.arange(n, dtype=np.uint64)
+    rank = ((hashed ^ (hashed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) << np.uint64(32) | (np.uint64(0xFFFFFFFF) - place)
+    blocks = np.full(-(-n // PLACES) * PLACES, np.uint64(2**64 - 1))
+    blocks[:n] = rank
+    blocks = blocks.reshape(-1, PLACES)
+    upto = np.minimum.accumulate(blocks, axis=1).ravel()
+    onward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(onward[: n - PLACES + 1], upto[PLACES - 1 : n])
+    chosen = least[np.append(True, least[1:] != least[:-1])]
+    return np.unique((np.uint64(0xFFFFFFFF) - (chosen & np.uint64(0xFFFFFFFF))).astype(np.int64)) + 7
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -338,6 +338,14 @@ def _(v):
     return M.score(rows, models, labels).select(*KEY, *[f"risk_score_{c}" for c in labels])
 
 
+@query("m10_missing_models", MATRIX_VIEWS, SQL_FEATURES + ";; SELECT machine_id, datetime, " + ", ".join(f"0.0::DOUBLE AS risk_score_risk_{c}" for c in COMPONENTS) + ", 4 AS missing FROM feat")
+def _(v):
+    """Labels without a model score 0 and are named."""
+    labels = [f"risk_{c}" for c in COMPONENTS]
+    rows = M.score(M.training_matrix(features(v), stored_matrix(v), KEY), {}, labels)
+    return rows.select(*KEY, *[f"risk_score_{c}" for c in labels], F.size("model_missing").alias("missing"))
+
+
 @query("m12_anomaly_score")
 def _(v):
     rows = v.memory().withColumnRenamed("memory", "features")

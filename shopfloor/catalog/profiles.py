@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import COMPONENTS, SENSORS
-from ..fixtures import EVENTS, TELEMETRY
+from ..fixtures import SCHEMAS, EVENTS, TELEMETRY
 from ..operators import evaluate as EV
 from ..operators import events as E
 from ..operators import profile as P
@@ -126,6 +126,14 @@ def _(v):
     return P.column_report({t: v.table(t).select(*cols) for t, cols in REPORT_TABLES.items()})
 
 
+TABLES = list(SCHEMAS)
+
+
+@query("a13_column_count", "", _union(f"SELECT '{t}' AS \"table\", count(*)::INT AS columns FROM (DESCRIBE SELECT * FROM {t})" for t in TABLES))
+def _(v):
+    return P.column_count(v.spark, {t: v.table(t) for t in TABLES})
+
+
 @query("a14_latest_tick", "telemetry", "SELECT max(datetime) AS latest_time, count(*) AS rows, count(*) = 0 AS waiting_data FROM telemetry")
 def _(v):
     from ..operators.alerts import latest_tick

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SENSORS
@@ -62,13 +65,56 @@ def _(v):
     return files.read_matrix(v.spark, path).select("cycle_id", F.size("samples").alias("n"), F.round(total, 5).alias("total"))
 
 
-@query("s04_read_whitespace", "", """SELECT CAST(o_orderkey AS DOUBLE) AS "Col_1", CAST(o_custkey AS DOUBLE) AS "Col_2", o_totalprice AS "Col_3", o_orderstatus AS "Col_4", o_orderpriority AS "Col_5" FROM orders""")
+@query("s04_read_whitespace", "", """SELECT CAST(o_orderkey AS DOUBLE) AS "Col_1", CAST(o_custkey AS DOUBLE) AS "Col_2", o_totalprice AS "Col_3", o_orderstatus AS "Col_4", split_part(o_orderpriority, ' ', 1) AS "Col_5",
+  nullif(split_part(o_orderpriority, ' ', 2), '') AS "Col_6" FROM orders""")
 def _(v):
     path = new_path(v.spark, "whitespace")
     v.table("orders").select(F.concat_ws("   ", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")]).alias("value")).write.text(path)
     return files.read_whitespace(v.spark, path)
 
 
+@query("s05_scan_tree", "", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def _(v):
+    """A tree of one folder per status, read file by file and put together again."""
+    root = new_path(v.spark, "tree")
+    for status in "FOP":
+        tables.write_csv(v.table("orders").filter(F.col("o_orderstatus") == status).select("o_orderkey", "o_custkey", "o_orderstatus"), f"{root}/{status}")
+    _, frames = files.scan_tree(v.spark, root)
+    parts = [f.select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus") for f in frames.values()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("s06_read_optional", "", "SELECT 'orders' AS source, o_orderkey, o_custkey FROM orders")
+def _(v):
+    """Sources that exist, each under its name; one that does not is left out."""
+    path = new_path(v.spark, "optional")
+    tables.write_csv(v.table("orders").select("o_orderkey", "o_custkey"), path)
+    found = files.read_optional(lambda p: files.read_csv(v.spark, p, "o_orderkey long, o_custkey long"), {"orders": path, "gone": f"{path}-gone"})
+    return reduce(DataFrame.unionByName, [f.withColumn("source", F.lit(name)) for name, f in found.items()])
+
+
+@query("s07_read_sensors", "", """WITH n AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS cycle_id FROM embeddings)
+  SELECT 'PS1' AS sensor, cycle_id, CAST(embedding[1] AS DOUBLE) AS first FROM n UNION ALL SELECT 'TS1', cycle_id, CAST(embedding[2] AS DOUBLE) FROM n""")
+def _(v):
+    """Two sensor files out of three as one long table."""
+    root = new_path(v.spark, "sensors")
+    ordered = v.table("embeddings").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    for k, name in enumerate(("PS1", "TS1")):
+        ordered.select(F.col("embedding")[k].cast("double").cast("string").alias("value")).write.text(f"{root}/{name}")
+    found = files.read_sensors(v.spark, {name: f"{root}/{name}" for name in ("PS1", "TS1", "CE")})
+    return found.select("sensor", "cycle_id", F.col("samples")[0].alias("first"))
+
+
+@query("s13_reset_table", "ev", "SELECT event_id, machine_id, value FROM ev WHERE event_id % 2 = 0")
+def _(v):
+    """Rows written before a reset are gone, rows after it stay."""
+    rows, path = v.ev().select("event_id", "machine_id", "value"), new_path(v.spark, "reset")
+    tables.write_table(rows, path)
+    tables.reset_table(v.spark, path)
+    tables.write_table(rows.filter("event_id % 2 = 0"), path, "append")
+    return v.spark.read.schema(rows.schema).parquet(path)
+
+
 @query("s11_append_table", "ev", "SELECT event_id, machine_id, ts, value FROM ev")
 def _(v):
     """Ticks appended one part after the other give the whole table."""

@@ -56,7 +56,9 @@ def stream_to_table(stream: DataFrame, folder: str, partition: Sequence[str] = (
 
 def table(spark: SparkSession, folder: str, schema) -> DataFrame:
     """The rows a job has put out so far."""
-    return spark.read.schema(schema).parquet(f"{folder}/rows") if exists(spark, f"{folder}/rows") else spark.createDataFrame([], schema)
+    if not exists(spark, f"{folder}/rows"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/rows").select(*schema.names)
 
 
 def _newest(spark: SparkSession, folder: str) -> int | None:

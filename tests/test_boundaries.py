@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shopfloor.functions import arrays, scalars
 from shopfloor.operators import alerts, events, evaluate, profile, timeseries
 from shopfloor.operators.series import Series
+from shopfloor.plans import live
 
 T0 = datetime(2024, 1, 1)
 
@@ -139,3 +140,20 @@ def test_exact_median(spark):
     df = spark.createDataFrame([(1, x) for x in (5.0, 1.0, 1.0, 9.0)] + [(2, 3.0)], "k int, x double")
     got = {r["k"]: r["median"] for r in profile.exact_median(df, ["k"], "x").collect()}
     assert got == {1: 3.0, 2: 3.0}
+
+
+def test_hour_sums_count_microseconds(spark):
+    rows = [(1, 0, T0 + timedelta(microseconds=900_000), 1.0), (1, 1, T0 + timedelta(hours=12), 1.0), (1, 2, T0 + timedelta(days=1, microseconds=100_000), 1.0)]
+    rows.append((1, 3, T0 + timedelta(days=1, microseconds=900_000), 1.0))
+    df = spark.createDataFrame(rows, "m long, i long, t timestamp_ntz, v double")
+    for width in (3600, 86_400, 10**6):
+        out = timeseries.rolling_sum_hours(df, Series(("m",), ("t",), width), ["v"], 24, "_24h")
+        assert column(out, "v_24h") == [1, 2, 3, 3]
+
+
+def test_last_of_several_states_wins(spark):
+    scored = spark.createDataFrame([(1, 7, T0), (2, 8, T0)], "id long, original_machine_id long, original_datetime timestamp_ntz")
+    states = [(7, T0, 1, 5.0), (7, T0, 2, 3.0), (7, T0, 2, 3.0), (9, T0, 1, 1.0)]
+    erp = spark.createDataFrame(states, "machine_id long, datetime timestamp_ntz, entry long, age double")
+    got = live.lookup_erp(scored, erp, order=["entry"]).select("id", "age").collect()
+    assert [tuple(r) for r in got] == [(1, 3.0)]

@@ -95,3 +95,22 @@ def test_report_goes_on_after_an_unreadable_table(spark, tmp_path):
     got = {r["table"]: r for r in profile.column_report(tables_).collect()}
     assert got["gone"]["status"] == profile.STATUS_UNREADABLE and got["gone"]["rows"] is None
     assert got["here"]["status"] == profile.STATUS_COMPLETE and got["here"]["sample_values"] == "0, 1, 2"
+
+
+def test_whitespace_takes_the_widest_line(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 2\n3 4 5 x\n\n6\n")
+    rows = files.read_whitespace(spark, str(tmp_path / "a.txt"))
+    assert rows.columns == ["Col_1", "Col_2", "Col_3", "Col_4"]
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([(1.0, 2.0, None, None), (3.0, 4.0, 5.0, "x"), (6.0, None, None, None)], key=str)
+    with pytest.raises(ValueError):
+        files.read_whitespace(spark, str(tmp_path / "a.txt"), columns=2)
+    with pytest.raises(ValueError):
+        files.read_whitespace(spark, str(tmp_path / "a.txt"), ragged="error")
+
+
+def test_empty_files_are_reported(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("")
+    (tmp_path / "ok.csv").write_text("a,b\n1,2\n")
+    status, frames = files.scan_tree(spark, str(tmp_path))
+    told = {r["path"].rsplit("/", 1)[1]: r["status"] for r in status.collect()}
+    assert told == {"e.csv": "error: empty file", "ok.csv": "ok"} and len(frames) == 1

@@ -8,12 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import nan_to_null
 from ..operators.timeseries import ordered_index
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header and a given schema; unreadable values become NULL."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """CSV with a header and a given schema; unreadable values and NaN become NULL."""
+    return nan_to_null(spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

@@ -10,9 +10,9 @@ from shopfloor.sources import files, tables
 
 
 def test_csv_with_schema(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("datetime,machineID,volt,rotate,pressure,vibration\n2015-01-01 06:00:00,1,176.2,418.5,113.0,bad\n")
+    (tmp_path / "t.csv").write_text("datetime,machineID,volt,rotate,pressure,vibration\n2015-01-01 06:00:00,1,176.2,NaN,113.0,bad\n")
     row = files.read_csv(spark, str(tmp_path / "t.csv"), schemas.TELEMETRY).first()
-    assert row["machineID"] == 1 and row["volt"] == 176.2 and row["vibration"] is None
+    assert row["machineID"] == 1 and row["volt"] == 176.2 and row["rotate"] is None and row["vibration"] is None
 
 
 def test_matrix_keeps_line_order(spark, tmp_path):

@@ -32,8 +32,9 @@ LENGTH = 200
 #: Distances of a window's start from its anchor, and bytes that all of an anchor's windows hold around it.
 NEAR, FAR, AFTER = 70, 133, 66
 PLACES = 64
-#: Places of a neighbourhood above which windows are compared as rows, and anchors compared at once.
-MANY, AT_ONCE = 2_000, 4_000
+#: Places of a neighbourhood above which windows are compared as rows, and anchors compared at once. A group of MANY places takes
+#: about 200 MB in its task.
+MANY, AT_ONCE = 50_000, 4_000
 #: Words of 64 bits in the map of texts to read again, a table of fixed size.
 MAP_WORDS = 1 << 18
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -39,3 +43,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``, and a collection of the driver's garbage behind it.
+
+    Spark deletes the files of a shuffle once the driver has collected the objects that stood for it. A job that goes on for
+    many steps would else keep them all.
+    """
+    out = materialize(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -303,6 +303,37 @@ def test_classifier_adds_keys_it_has_not_seen(spark):
     assert pii.pii_report(clean).count() == 3
 
 
+def card_number(k):
+    head = f"4{k * 7919 % 10**14:014d}"
+    total = sum(d if i % 2 else (2 * d - 9 * (d > 4)) for i, d in enumerate(int(x) for x in reversed(head)))
+    return head + str(-total % 10)
+
+
+def test_every_generator_adds_spans(spark):
+    """Formats without any base span, as frequent as those with one, are added; such that fail a check are not."""
+    rows, want, wrong = [], {}, {}
+    for k in range(240):
+        card, key = card_number(k), hashlib.sha256(str(k).encode()).hexdigest()
+        four = [card[i : i + 4] for i in range(0, 16, 4)]
+        area, last = f"{200 + k * 37 % 700}", f"{1000 + k * 53 % 9000}"
+        rows.append((3 * k, f"write to user{k}@mail.example.com or call +1 {area}-555-{last} and pay by {' '.join(four)} with AKIA{key[:16].upper()} or {key[:40]} now"))
+        secret = "".join(c.upper() if i % 3 else c for i, c in enumerate(key[20:52]))
+        parts = [f"name{k} (at) host{k} (dot) org", f"{area}-555-{last}", ".".join(four), secret + "Zx9" * 80, f"password: hunter{k}xyz{'q' * 250}"]
+        rows.append((3 * k + 1, f"write to {parts[0]} or call {parts[1]} and pay by {parts[2]} with {parts[3]} or {parts[4]} now"))
+        bad = [f"look{k} @ noon. Then", f"{area}-555-{last[:3]}", ".".join([*four[:3], four[3][:3] + str((int(four[3][3]) + 1) % 10)]), f"plain-{k}-words-of-many-things"]
+        rows.append((3 * k + 2, f"write to {bad[0]} or number {bad[1]} and part {bad[2]} with {bad[3]} now"))
+        want[3 * k + 1], wrong[3 * k + 2] = parts, bad
+    source = dict(rows)
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(frame(spark, rows)).collect()}
+    added = Counter()
+    for d, parts in want.items():
+        for k, part in enumerate(parts):
+            at = source[d].index(part)
+            added[k] += f"{pii.GENERATORS[k][0]}:{at}:{at + len(part)}" in got[d].split(",")
+    assert all(added[k] >= 0.95 * len(want) for k in range(5)), added
+    assert sum(got[d] != "" for d in wrong) <= 0.02 * len(wrong)
+
+
 # --- bytes -------------------------------------------------------------------------------------------------------------
 
 

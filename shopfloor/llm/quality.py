@@ -1,12 +1,13 @@
 r"""Quality rules: a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 Words and word pairs fall into hash buckets. Counts over every document make the raw multinomial, counts over trusted ones
-the target; the target is fitted on at most ``TRUSTED`` labelled documents, those with the least hashes of their ids. A document's score is the mean, over its own words and pairs, of the log ratio of the two: its
+the target. A document's score is the mean, over its own words and pairs, of the log ratio of the two: its
 log-likelihood ratio divided by its length. It is kept if its score is at least a threshold and it breaks no base rule. The
-trusted documents are split by id: one part makes the target, and the scores of ``HELD_OUT`` others, which are like those of any
+trusted documents are split by id: four of five parts make the target, and the scores of all others, which are like those of any
 clean document, set the threshold: their quantile ``LOST``, less ``MARGIN`` times their quartile range.
 
-Only DataFrame functions are used. The counts are the only thing gathered: one row per bucket and task, so they grow with
+Only DataFrame functions are used. A map of hash bits of fixed size picks the texts that may be the target's; only these move, to
+meet the ids they must equal. The counts are the only thing gathered: one row per bucket and task, so they grow with
 the input up to a bound by ``BUCKETS``, and the table of ratios, ``BUCKETS`` doubles, is sent to all tasks as a scalar subquery.
 Scoring reads a row at a time and moves nothing.
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import fresh, let, require, words
+from .suffix import marked
 
 BUCKETS = 1 << 16
 #: Added to every bucket's count.
@@ -29,8 +31,6 @@ SMOOTHING = 0.5
 LOST, MARGIN = 0.005, 3.0
 #: Of so many parts of the trusted documents, one sets the threshold.
 PARTS = 5
-#: Labelled documents that make the target, and that set the threshold, at most; their ids are sent to all tasks.
-TRUSTED, HELD_OUT = 20_000, 5_000
 #: Base rules: least words, and words in repeated windows of five per hundred words.
 LEAST_WORDS, REPEATED = 10, 20
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
@@ -101,12 +101,17 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> DataFrame:
-    """(ratios): one row, an array with the log ratio of every bucket; ``trusted`` has the ids (doc_id) of no more than ``TRUSTED`` documents."""
-    marks = trusted.select("doc_id").distinct().withColumn("_trusted", F.lit(1))
-    marked = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("t"), "text")
-    held = marked.select("t", let(hashed(words(F.col("text"))), lambda h: buckets(h, pairs(h), n)).alias("b")).select("t", F.explode("b").alias("bucket"))
-    counts = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
-    every = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
+    """(ratios): one row, an array with the log ratio of every bucket; ``trusted`` has the ids (doc_id) of the target's documents."""
+    ids = materialize(trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("text_id")).distinct(), "quality-target")
+    texts = docs.select(F.col("doc_id").alias("text_id"), "text")
+    target = texts.where(marked(texts, ids, "quality-map")).join(ids.hint("shuffle_hash"), "text_id")
+
+    def counts(texts: DataFrame, name: str) -> DataFrame:
+        held = texts.select(let(hashed(words(F.col("text"))), lambda h: buckets(h, pairs(h), n)).alias("b")).select(F.explode("b").alias("bucket"))
+        return held.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+
+    every = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"))
+    every = every.join(counts(docs, "raw"), "bucket", "left").join(counts(target, "target"), "bucket", "left").na.fill(0)
     row = F.struct("bucket", "raw", "target")
     summed = every.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.array_sort(F.collect_list(row)).alias("rows"))
     alpha, total = F.lit(SMOOTHING), F.lit(SMOOTHING * n)
@@ -161,12 +166,10 @@ def verdicts(docs: DataFrame, labels: DataFrame, columns: list[str], n: int = BU
     require(labels, "doc_id", "quality", "toxic")
     trusted = trusted_ids(labels)
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == 0
-    least = lambda ids, most: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    target = materialize(least(trusted.where(~held_out), TRUSTED), "quality-target")
-    ratios = materialize(bucket_ratios(docs, target, n), "quality-ratios")
+    ratios = materialize(bucket_ratios(docs, trusted.where(~held_out), n), "quality-ratios")
     scores = scored(docs, ratios, n).select(*columns, *[c for c in ADDED if c != "kept" and c not in columns])
     scores = materialize(scores, "quality-scores")
-    return judged(scores, threshold(scores, least(trusted.where(held_out), HELD_OUT)))
+    return judged(scores, threshold(scores, trusted.where(held_out)))
 
 
 def quality_columns(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -102,6 +102,35 @@ def test_base_rules_and_scores(spark):
     assert not got[301]["kept"]
 
 
+def test_all_trusted_documents_count(spark, monkeypatch):
+    """Target and threshold cover every trusted document, also of many."""
+    import numpy as np
+
+    held = f"pmod(xxhash64(doc_id), {quality.PARTS}) = 0"
+    ids = spark.range(40_000).selectExpr("id AS doc_id")
+    docs = ids.selectExpr("doc_id", "concat_ws(' ', transform(sequence(0, 11), k -> concat('w', k * (doc_id % 50)))) AS text")
+    labelled = ids.selectExpr("doc_id", "1 AS quality", "0 AS toxic").where("doc_id % 4 < 3")
+    n_held, n_target = labelled.where(held).count(), labelled.where(f"NOT {held}").count()
+    given, threshold = [], quality.threshold
+    monkeypatch.setattr(quality, "threshold", lambda scores, trusted: given.append((scores, trusted)) or threshold(scores, trusted))
+    got = quality.quality_columns(docs, labelled)
+    (scores, trusted), = given
+    assert trusted.count() == n_held > 5_000 and n_target > 20_000
+    ratio = np.array(quality.bucket_ratios(docs, labelled.where(f"NOT {held}").select("doc_id")).first()["ratios"])
+    places = lambda t: quality.let(quality.hashed(quality.words(t)), lambda h: quality.buckets(h, quality.pairs(h), quality.BUCKETS))
+    coded = docs.where("doc_id < 50").select("doc_id", places(quality.F.col("text")).alias("b")).collect()
+    sizes = {r["k"]: (r["raw"], r["target"]) for r in docs.join(labelled, "doc_id", "left").selectExpr("doc_id % 50 AS k", f"quality = 1 AND NOT {held} AS t").groupBy("k").agg(quality.F.count("k").alias("raw"), quality.F.count_if("t").alias("target")).collect()}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for r in coded:
+        for b in r["b"]:
+            raw[b] += sizes[r["doc_id"]][0]
+            target[b] += sizes[r["doc_id"]][1]
+    share = lambda c: np.log((c + quality.SMOOTHING) / (c.sum() + quality.SMOOTHING * quality.BUCKETS))
+    assert np.allclose(ratio, share(target) - share(raw), atol=1e-9)
+    rows = {r["doc_id"]: r["score"] for r in got.where("doc_id < 50").collect()}
+    assert all(rows[r["doc_id"]] == pytest.approx(np.mean(ratio[r["b"]]), abs=1e-9) for r in coded)
+
+
 def test_quality_without_labels_and_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_columns(frame(spark), none).collect()}

@@ -268,6 +268,23 @@ def test_lines_equal_all_pairs(spark, monkeypatch):
     assert any(want.values())
 
 
+def test_lines_of_null_ids_and_of_two_texts_under_one_id(spark):
+    rows = [(d, f"a b c d e f g h i j k l{k}\nown{k} words{k} stand{k} here{k}\nm{k} n o p q r s t u v w x y z") for k, d in enumerate([None, None, 7, 7, 8, None])]
+    rows.append(rows[-1])
+    docs = frame(spark, rows)
+    keyed = [(r["doc_id"], r["row"], r["text"]) for r in docs.selectExpr("doc_id", "xxhash64(text) AS row", "text").distinct().collect()]
+    order = sorted(keyed, key=lambda r: (-1 if r[0] is None else r[0], r[1]))
+    removed = lines_plain([(k, t) for k, (_, _, t) in enumerate(order)])
+    want = {(d, row, i): removed[k, i] for k, (d, row, t) in enumerate(order) for i in range(3)}
+    got = {(r["doc_id"], r["row"], r["place"]): r["removed"] for r in lines.repeated_lines(docs).collect()}
+    assert got == want and sum(got.values()) == 10
+    kept = Counter((r["doc_id"], r["text"]) for r in lines.without_lines(docs).collect())
+    times = Counter(rows)
+    assert kept == Counter({(d, "\n".join(x for i, x in enumerate(t.split("\n")) if not removed[k, i])): times[d, t] for k, (d, _, t) in enumerate(order)})
+    report = Counter((r["doc_id"], r["n_lines"], r["n_removed"]) for r in lines.line_report(docs).collect())
+    assert report == Counter((d, 3, sum(removed[k, i] for i in range(3))) for k, (d, _, _) in enumerate(order))
+
+
 def test_without_lines_rebuilds_texts(spark):
     rows = [r for r in texts() if r[0] is not None]
     removed = lines_plain(rows)

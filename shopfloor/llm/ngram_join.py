@@ -1,10 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash bands.
 
 1. A text becomes the set of hashes of its runs of five words. Texts with equal sets form a copy class; from here on one
    row stands for a class.
-2. Every tree of the forest holds the classes sorted by their min-hashes in that tree. A pair is a candidate where two
-   classes share a prefix. The prefix matched starts at the depth of the trees and is shortened until a pair right at the
-   similarity wanted is found with the target recall. Classes below one prefix are linked to the least of them.
+2. Every tree is one band of min-hashes: a pair is a candidate where all min-hashes of two classes in a tree are equal. Their
+   number is fixed before any data are read: the largest with which a pair right at the similarity wanted has the expected
+   recall. It is not an LSH forest, whose prefixes adapt to what they find. Classes of one band are linked to the least.
 3. Candidate components are cut into blocks by their total size, and every pair of blocks of a component is verified
    exactly in one task: sizes of intersections are products of incidence matrices whose equal columns are merged. A task
    puts out the number of links of each class and a spanning forest, never pairs.

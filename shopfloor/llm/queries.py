@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, lines, ngram_join, pii, quality, spans, suffix, urls
+from . import bpe, chat, decontaminate, lines, ngram_join, pii, quality, repair, spans, suffix, urls
 from .common import table
 
 #: Folder of the public tokenizers' files.
@@ -55,7 +55,11 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join, op4_sentence_spans, op2_quality, op5_line_dedup, op6_pii, op7_suffix)
+    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join, op4_sentence_spans, op2_quality, op5_line_dedup, op6_pii, op7_suffix, op13_repair)
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.SQL, "op4_sentence_spans": spans.SQL, "op3_ngram_join": ngram_join.SQL, "op9_chat": chat.SQL, "op10_urls": urls.SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.SQL, "op4_sentence_spans": spans.SQL, "op3_ngram_join": ngram_join.SQL, "op9_chat": chat.SQL, "op10_urls": urls.SQL, "op13_repair": repair.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, hashing, lines, ngram_join, pii, quality, repair, spans, suffix, urls
+from . import bpe, chat, decontaminate, hashing, lines, ngram_join, pii, quality, ranked, repair, spans, suffix, urls
 from .common import table
 
 #: Folder of the public tokenizers' files.
@@ -55,6 +55,10 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.every_hundredth(table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +68,6 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join, op4_sentence_spans, op2_quality, op5_line_dedup, op6_pii, op7_suffix, op12_hashing, op13_repair)
+    f.__name__: f for f in (op1_bpe, op9_chat, op10_urls, op8_decontamination, op3_ngram_join, op4_sentence_spans, op2_quality, op5_line_dedup, op6_pii, op7_suffix, op11_ranked, op12_hashing, op13_repair)
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.SQL, "op4_sentence_spans": spans.SQL, "op3_ngram_join": ngram_join.SQL, "op9_chat": chat.SQL, "op10_urls": urls.SQL, "op13_repair": repair.SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.SQL, "op4_sentence_spans": spans.SQL, "op3_ngram_join": ngram_join.SQL, "op9_chat": chat.SQL, "op10_urls": urls.SQL, "op11_ranked": ranked.SQL, "op13_repair": repair.SQL}

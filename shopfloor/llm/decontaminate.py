@@ -10,7 +10,8 @@ arrays. Every item retrieved is verified: runs of five words of its question and
 The index is the only thing sent to all tasks. Its size is checked: test sets of more than ``INDEX_BYTES`` of text are
 split into several indexes by item id, with counts and lengths taken over all items, and the documents are read once for
 each. Null or empty texts have no terms: such items are never found, such documents find nothing. Repeated document rows
-give repeated matches. No match is dropped.
+give repeated matches. Rows of items under one id, null included, are items of their own; a document has one row for an id,
+that of the best of them within an index. A text is held whole in Python, however long, its windows one by one. No match is dropped.
 """
 
 from __future__ import annotations
@@ -77,12 +78,14 @@ def overlap(part: list[str], window: list[str], n: int) -> float:
 class Index:
     """Postings of a set of items with normalised weights and block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], counts: dict[str, int], n_items: int, mean: float, share: float, n: int):
+    def __init__(self, items: list[tuple[int | None, str]], counts: dict[str, int], n_items: int, mean: float, share: float, n: int):
         self.n = n
-        words = {i: tokens(t) for i, t in items}
-        self.ids = sorted((i for i in words if words[i]), key=lambda i: (len(words[i]), i))
-        self.parts = {i: question_and_answer(t) for i, t in items}
-        self.stride = max([len(w) for w in words.values()], default=0)
+        words = [tokens(t) for _, t in items]
+        #: Items by their place in the list, since ids may be null or repeat.
+        self.ids = sorted((i for i, w in enumerate(words) if w), key=lambda i: (len(words[i]), i))
+        self.names = [name for name, _ in items]
+        self.parts = [question_and_answer(t) for _, t in items]
+        self.stride = max(map(len, words), default=0)
         self.terms: dict[str, int] = {}
         self.postings: list[tuple[list[int], list[float]]] = []
         for at, item in enumerate(self.ids):
@@ -204,9 +207,9 @@ class Index:
                     if x[0] < item:
                         to(x, item)
 
-    def matches(self, texts: list[str | None], least: float) -> list[dict[int, tuple[float, float, float]]]:
-        """Items verified in each text, with the best window's weight, question overlap and answer overlap."""
-        out: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+    def matches(self, texts: list[str | None], least: float) -> list[dict[int | None, tuple[float, float, float]]]:
+        """Ids of the items verified in each text, with the best window's weight, question overlap and answer overlap."""
+        out: list[dict[int | None, tuple[float, float, float]]] = [{} for _ in texts]
         for row, words, terms in self.windows(texts):
             found = self.search(terms)
             window = tokens(" ".join(words)) if found else []
@@ -214,7 +217,8 @@ class Index:
                 item = self.ids[at]
                 q, a = (overlap(part, window, self.n) for part in self.parts[item])
                 if q >= least and a >= least:
-                    out[row][item] = max(out[row].get(item, (0.0, 0.0, 0.0)), (score, q, a))
+                    name = self.names[item]
+                    out[row][name] = max(out[row].get(name, (0.0, 0.0, 0.0)), (score, q, a))
         return out
 
 
@@ -258,7 +262,7 @@ def _indexes(items: DataFrame, share: float, n: int) -> Iterator[Index]:
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
         own = part.mapInArrow(terms, "term string").distinct()
         known = {r["term"]: r["items"] for r in counts.join(own, "term", "left_semi").toLocalIterator()}
-        held = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
+        held = sorted(((r["item_id"], r["text"]) for r in part.toLocalIterator()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         if held:
             yield Index(held, known, n_items, max(length, 1.0), share, n)
 
@@ -287,9 +291,27 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, least: f
                 texts, docs_ = batch.column(1).to_pylist(), batch.column(0).to_pylist()
                 for a, b in _portions(texts):
                     for doc, found_ in zip(docs_[a:b], sent.value.matches(texts[a:b], least), strict=True):
-                        rows += [(doc, item, *scores) for item, scores in sorted(found_.items())]
+                        rows += [(doc, item, *scores) for item, scores in sorted(found_.items(), key=lambda x: (x[0] is not None, x[0] or 0))]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+
+
+def without_items(docs: DataFrame, items: DataFrame, share: float = 0.6, least: float = 0.5, n: int = 5) -> DataFrame:
+    """``docs`` without the rows whose text holds an item, as ``contaminated`` finds them; each row is judged by its own text."""
+    require(docs, "doc_id", "text")
+    require(items, "item_id", "text")
+    at, left = docs.columns.index("text"), docs
+    for index in _indexes(items, share, n):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                for a, b in _portions(texts):
+                    yield batch.slice(a, b - a).filter(pa.array([not m for m in sent.value.matches(texts[a:b], least)], pa.bool_()))
+
+        left = left.mapInArrow(run, docs.schema)
+    return left

@@ -11,7 +11,8 @@
 4. Components of the spanning forests are the result's classes.
 
 A text of fewer than five words has one run; one without words has none, links with nothing and is a class of its own with
-the other empty ones kept apart. Null text counts as empty. Repeated rows are copies. Words are compared as they stand.
+the other empty ones kept apart. Null text counts as empty. Repeated rows are copies; rows of
+one id with other texts are documents of their own. Words are compared as they stand. A text is held whole in Python, however long.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import require
+from .common import fresh, require
 from .graph import components
 
 N, SIMILARITY = 5, 0.8
@@ -100,33 +101,34 @@ class Forest:
 
 
 def features(docs: DataFrame, n: int, trees: int, matched: int) -> DataFrame:
-    """(doc_id, key, runs, prefixes) of every row."""
+    """(doc_id, row, key, runs, prefixes) of every row; ``row``, a hash of the text, tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest(trees, matched)
 
-        def made(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def made(ids: list, rows_: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
             rows = iter(forest.prefixes(full).tolist() if full else [])
             columns = [
-                pa.array(ids, pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(ids, pa.int64()), pa.array(rows_, pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([next(rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "runs", "prefixes"])
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "key", "runs", "prefixes"])
 
         for batch in batches:
-            ids, sets, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, texts, sets, size = [], [], [], 0
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids.append(doc)
+                texts.append(row)
                 sets.append(run_hashes(text.as_py(), n))
                 size += len(sets[-1])
                 if size > AT_ONCE:
-                    yield made(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield made(ids, texts, sets)
+                    ids, texts, sets, size = [], [], [], 0
             if ids:
-                yield made(ids, sets)
+                yield made(ids, texts, sets)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, runs long, prefixes array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, key binary, runs long, prefixes array<long>")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -211,9 +213,14 @@ def verify(members: DataFrame, n: int, similarity: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, copy_of, n_copies, n_links) for every row of ``docs`` (doc_id, text).
+    """(doc_id, class_id, copy_of, n_copies, n_links) for every row of ``docs`` (doc_id, text)."""
+    return members(docs, n, similarity, trees, depth, recall).drop("row", "label")
 
-    ``class_id`` is the least doc_id linked to the row directly or through others, ``copy_of`` the least with the same runs,
+
+def members(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """(doc_id, row, label, class_id, copy_of, n_copies, n_links) for every row of ``docs`` (doc_id, text).
+
+    ``row`` is a hash of the text; rows of one ``label`` form a class, a null label is a class of its own. ``class_id`` is the least doc_id linked to the row directly or through others, ``copy_of`` the least with the same runs,
     ``n_copies`` the number of rows with the same runs, ``n_links`` the number of other rows of at least ``similarity``.
     """
     require(docs, "doc_id", "text")
@@ -245,19 +252,27 @@ def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, tre
     known = classes.select("key", "copy_of", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left")
     known = materialize(known.withColumn("label", F.coalesce("label", "key")), "join-known")
     least = known.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    named = materialize(known.join(least, "label").select("key", "class_id", "copy_of", "copies", F.coalesce("links", F.lit(0)).alias("links")), "join-classes")
-    full = found.where("runs > 0").select("doc_id", "key").join(named, "key").select(
-        "doc_id", "class_id", "copy_of", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.col("links")).alias("n_links")
+    named = materialize(known.join(least, "label").select("key", "label", "class_id", "copy_of", "copies", F.coalesce("links", F.lit(0)).alias("links")), "join-classes")
+    full = found.where("runs > 0").select("doc_id", "row", "key").join(named, "key").select(
+        "doc_id", "row", "label", "class_id", "copy_of", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.col("links")).alias("n_links")
     )
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    empty = found.where("runs = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), one.alias("n_copies"), none.alias("n_links"))
+    empty = found.where("runs = 0").select("doc_id", "row", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), one.alias("n_copies"), none.alias("n_links"))
     return full.unionByName(empty)
 
 
 def first_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the rows that are near copies of another: of each class the least doc_id stays, once."""
-    away = near_copies(docs.select("doc_id", "text"), **settings).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(materialize(away, "join-away"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """``docs`` without the rows that are near copies of another: of each class the least doc_id stays, once.
+
+    A row is known by its id and its text: another text under the same id is judged by itself. A null id comes first; of rows
+    under one id the least hash of the text stays. Texts without words stay, rows with one id and text once.
+    """
+    of, row = fresh(docs, "of", "row")
+    rows = materialize(members(docs.select("doc_id", "text"), **settings).where("label IS NOT NULL").select("doc_id", "row", "label").distinct(), "join-members")
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    away = rows.join(first, "label").where(F.struct("doc_id", "row") != F.col("first")).select(F.col("doc_id").alias(of), F.col("row").alias(row))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & F.xxhash64("text").eqNullSafe(F.col(row))
+    return docs.join(materialize(away, "join-away"), same, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 SQL = f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from shopfloor.llm import bpe, decontaminate, lines, ngram_join, pii, quality, spans, suffix
 from shopfloor.llm.queries import WORD_BPE
 
-from .helpers import empty, frame, texts
+from .helpers import empty, frame, sentence, texts
 
 
 def by_id(rows, *names):
@@ -185,6 +186,16 @@ def test_matched_depth_shortens_with_recall():
         ngram_join.matched_depth(0.1, 2, 8, 0.99)
 
 
+def test_first_of_each_knows_rows_by_their_text(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, base), (7, base), (7, "a text that stands nowhere else at all here"), (None, base + " more"), (9, None), (9, "")]
+    left = Counter((r["doc_id"], r["text"]) for r in ngram_join.first_of_each(frame(spark, rows)).collect())
+    assert left == Counter([(None, base + " more"), (7, rows[2][1]), (9, None), (9, "")])
+    rows = [(5, base), (None, base), (None, "another text under no id for all of it"), (None, base)]
+    left = Counter((r["doc_id"], r["text"]) for r in ngram_join.first_of_each(frame(spark, rows)).collect())
+    assert left == Counter([(None, base), (None, rows[2][1])])
+
+
 def test_first_of_each_keeps_columns_and_one_of_a_group(spark):
     docs = frame(spark, clashes=True)
     left = ngram_join.first_of_each(docs)
@@ -205,8 +216,10 @@ def spans_plain(rows):
     for d, t in rows:
         s = [" ".join(spans.words_of(p)) for p in sentences(t)]
         for i in range(len(s)):
-            for k in range(2, spans.SENTENCES + 1):
-                if i + k <= len(s) and (k == spans.SENTENCES or sum(len(x.split(" ")) for x in s[i : i + k]) >= spans.WORDS):
+            if len(s[i].split(" ")) >= spans.LONG:
+                order.append(((-1 if d is None else d, i), (s[i],)))
+            for k in range(2, len(s) - i + 1):
+                if sum(len(x.split(" ")) for x in s[i : i + k]) >= spans.WORDS:
                     order.append(((-1 if d is None else d, i), tuple(s[i : i + k])))
                     break
     for place, run in sorted(order):
@@ -242,6 +255,30 @@ def test_sentence_spans_equal_plain(spark):
     assert spans.deduplicated(empty(spark)).collect() == []
 
 
+def test_passages_of_long_and_of_short_sentences(spark):
+    long = " ".join(f"long{k}" for k in range(61)) + "."
+    pair = "Nine words stand here in this sentence one two. Nine other words stand in that sentence as well."
+    rows = [(1, f"First start. {long} First end."), (2, f"Second start here. {long} Second end."), (3, f"Third one. {pair} Third end of it."), (4, f"Fourth one. {pair} Fourth end of it."), (5, "Hi. Yes. No."), (6, "Hi. Yes. No.")]
+    got = {r["doc_id"]: r["text"] for r in spans.without_repeats(frame(spark, rows)).collect()}
+    assert got == {**dict(rows), 2: "Second start here. Second end.", 4: "Fourth one. Fourth end of it."}
+
+
+def test_planted_passages_go_and_clean_documents_stay(spark):
+    """Repeated passages of 50 words in documents of their own, on the test table: 95 % go, 97 % of the other documents stay as they are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(1)
+    made = lambda n: " ".join(sentence(rng, [f"v{k}" for k in range(5000)], 5, 20) for _ in range(n))
+    passages = [made(5) for _ in range(20)]
+    planted = [(10**6 + k, f"{made(2)} {passages[k % 20]} {made(2)}") for k in range(60)]
+    both = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {r["doc_id"]: r["text"] for r in spans.without_repeats(both).collect()}
+    caught = [passages[k % 20] not in got[10**6 + k] and len(got[10**6 + k]) < len(planted[k][1]) - 0.9 * len(passages[k % 20]) for k in range(20, 60)]
+    assert sum(caught) >= 0.95 * len(caught) and all(got[10**6 + k] == planted[k][1] for k in range(20))
+    alone = [(2 * 10**6 + k, made(8)) for k in range(100)]
+    left = {r["doc_id"]: r["text"] for r in spans.without_repeats(both.unionByName(spark.createDataFrame(alone, "doc_id long, text string"))).collect()}
+    assert sum(left[d] == t for d, t in alone) >= 97
+
+
 # --- lines -------------------------------------------------------------------------------------------------------------
 
 
@@ -268,6 +305,15 @@ def test_lines_equal_all_pairs(spark, monkeypatch):
     assert any(want.values())
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.9])
+def test_lines_of_other_similarities(spark, monkeypatch, similarity):
+    monkeypatch.setattr(lines, "MANY", 5)
+    rows = [(k, "\n".join(" ".join(random.Random(f"{k} {i}").sample("aa bb cc dd ee ff".split(), 1 + (k + i) % 6)) for i in range(3))) for k in range(25)]
+    rows += [(900, "aa bb cc xx"), (901, "aa bb cc xx yy"), (902, "new1 new2 new3"), (903, "new1 new2 new3 new4")]
+    got = {(r["doc_id"], r["place"]): r["removed"] for r in lines.repeated_lines(frame(spark, rows), similarity).collect()}
+    assert got == lines_plain(rows, similarity)
+
+
 def test_lines_of_null_ids_and_of_two_texts_under_one_id(spark):
     rows = [(d, f"a b c d e f g h i j k l{k}\nown{k} words{k} stand{k} here{k}\nm{k} n o p q r s t u v w x y z") for k, d in enumerate([None, None, 7, 7, 8, None])]
     rows.append(rows[-1])
@@ -439,6 +485,18 @@ def test_leaks_are_found_and_clean_texts_are_not(spark, monkeypatch):
     assert decontaminate.contaminated(frame(spark), spark.createDataFrame([], ITEMS)).collect() == []
 
 
+def test_items_under_one_id_and_without_one(spark):
+    words = [[f"{a}{k}" for k in range(30)] for a in ("p", "q", "r")]
+    items = spark.createDataFrame([(5, " ".join(words[0]) + "."), (5, " ".join(words[1]) + "."), (None, " ".join(words[2]) + "."), (None, None)], "item_id long, text string")
+    docs = frame(spark, [(k, f"before it {' '.join(w)} and after it") for k, w in enumerate(words)] + [(None, "x " + " ".join(words[1])), (3, "clean of all of them"), (1, "a clean text under an id that leaks"), (4, None)])
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == {(0, 5), (1, 5), (None, 5), (2, None)}
+    left = decontaminate.without_items(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(r["text"] or "" for r in left.collect()) == ["", "a clean text under an id that leaks", "clean of all of them"]
+    assert decontaminate.without_items(docs, items.limit(0)).count() == docs.count()
+
+
 def test_pivot_search_equals_full_scores():
     import random
 

@@ -134,3 +134,24 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_of_null_and_repeated_ids_and_of_none(spark, tmp_path):
+    """Rows are judged one by one: another text under an id, or under no id, does not go with its neighbour."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    some = docs.limit(30).collect()
+    rows = [(None, r["text"], r["lang"], r["source"], r["n_chars"]) for r in some[:5]] + [(some[7]["doc_id"], some[8]["text"] + " Another end of it.", "en", "s", 1), (some[9]["doc_id"], f"{some[9]['text']}\n{leak}", "en", "s", 2), (None, None, None, None, None)]
+    table = docs.limit(30).unionByName(spark.createDataFrame(rows, docs.schema))
+    left = table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, left, SF)
+        assert after.columns == docs.columns, name
+        left = spark.createDataFrame(after.collect(), docs.schema)
+    ids = [r["doc_id"] for r in left.collect()]
+    assert not any(leak in (r["text"] or "") for r in left.collect()) and None in ids
+    assert corpus_pipeline.bpe_encoding(spark, left, SF).count() == left.count()
+    left = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, SF)
+    assert left.count() == 0

@@ -1,7 +1,8 @@
 """A training-text pipeline over ``documents``: five stages that each apply one text operator.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next stage's docs. All stages but the last return the columns of ``documents``.
+Parquet and read again as the next stage's docs. All stages but the last return the columns of ``documents``. An empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -16,29 +17,39 @@ from shopfloor.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a base rule, or whose likelihood ratio is below the threshold, go."""
+    """Documents that break a base rule, or whose likelihood ratio is below the threshold, go.
+
+    A null or empty text has too few words and goes. Every row is judged by its own text, whatever its id.
+    """
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines equal or similar to an earlier one go, and with them documents of which nothing is left."""
+    """Lines equal or similar to an earlier one go, and with them documents of which nothing is left; ``n_chars`` follows the text.
+
+    A null text stays. Rows of one id and text are one document, kept or cut alike; a null id comes first.
+    """
     kept = lines.without_lines(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id."""
+    """One document of each group of near copies stays, the one with the least doc_id, null first.
+
+    Rows of one id with other texts are documents of their own. Texts without words are no copies of one another.
+    """
     return ngram_join.first_of_each(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialize(hits, "pipeline-hits"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text holds a benchmark item go, whatever their id; a null text and an empty benchmark remove nothing."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and the digests of ids and decoded text of every document left."""
+    """Token counts and the digests of ids and decoded text of every row left; a null text counts as empty."""
     return bpe.token_digests(docs, WORD_BPE)
 
 

@@ -212,9 +212,9 @@ def impacts(v):
     return rows.select(*KEY, X.named(NAMES, impact, F.col("features")).alias("items"))
 
 
-@query("m11_contributions", MATRIX_VIEWS, SQL_IMPACT + ";; SELECT machine_id, datetime, " + ", ".join(f"round(c[{i + 1}], 4) AS c{i}" for i in (0, 3, 4, 9, 13)) + " FROM imp")
+@query("m11_contributions", MATRIX_VIEWS, SQL_IMPACT + ";; SELECT machine_id, datetime, " + ", ".join(f"round(c[{i + 1}], 4) AS c{i}" for i in range(14)) + " FROM imp")
 def _(v):
-    return impacts(v).select(*KEY, *[F.round(F.col("items")[i]["impact"], 4).alias(f"c{i}") for i in (0, 3, 4, 9, 13)])
+    return impacts(v).select(*KEY, *[F.round(F.col("items")[i]["impact"], 4).alias(f"c{i}") for i in range(14)])
 
 
 _NAMED = "['" + "', '".join(NAMES) + "']"

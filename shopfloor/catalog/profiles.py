@@ -88,10 +88,10 @@ _LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
 
 @query("a10_top_correlations", "", "WITH c AS (" + _union(
     f"SELECT '{c}' AS \"column\", round(abs(corr(l_quantity, {c})), 6) AS correlation FROM lineitem" for c in _LINE_NUMBERS)
-    + ') SELECT * FROM c ORDER BY correlation DESC, "column" LIMIT 8')
+    + ') SELECT * FROM c ORDER BY correlation DESC, "column" LIMIT 5')
 def _(v):
     rows = v.table("lineitem").select(*_LINE_NUMBERS)
-    return P.top_correlations(rows, "l_quantity", 8).withColumn("correlation", F.round("correlation", 6))
+    return P.top_correlations(rows, "l_quantity", 5).withColumn("correlation", F.round("correlation", 6))
 
 
 @query("a11_time_coverage", "ev", """
@@ -107,6 +107,12 @@ REPORT_TABLES = {
     "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
     "orders": ORDERS,
     "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
 }
 
 
@@ -123,15 +129,15 @@ def _report_sql(table: str, c: str, kind: str) -> str:
 
 @query("a12_column_report", "", _union(_report_sql(t, c, k) for t, cols in REPORT_TABLES.items() for c, k in cols.items()))
 def _(v):
-    return P.column_report({t: v.table(t).select(*cols) for t, cols in REPORT_TABLES.items()})
+    return P.column_report({t: v.spark.read.parquet(f"{v.folder}/{t}.parquet").select(*cols) for t, cols in REPORT_TABLES.items()})
 
 
-TABLES = list(SCHEMAS)
+TABLES = [*"region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()]
 
 
 @query("a13_column_count", "", _union(f"SELECT '{t}' AS \"table\", count(*)::INT AS columns FROM (DESCRIBE SELECT * FROM {t})" for t in TABLES))
 def _(v):
-    return P.column_count(v.spark, {t: v.table(t) for t in TABLES})
+    return P.column_count(v.spark, {t: v.spark.read.parquet(f"{v.folder}/{t}.parquet") for t in TABLES})
 
 
 @query("a14_latest_tick", "telemetry", "SELECT max(datetime) AS latest_time, count(*) AS rows, count(*) = 0 AS waiting_data FROM telemetry")
@@ -236,7 +242,7 @@ def _(v):
     return Q.history_length(v.ev(), ["machine_id"])
 
 
-_FIT = "fit AS (SELECT " + ", ".join(f"avg({c}) AS mean_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std_{c}" for c in SENSORS) + " FROM telemetry)"
+_FIT = "fit AS MATERIALIZED (SELECT " + ", ".join(f"avg({c}) AS mean_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS std_{c}" for c in SENSORS) + " FROM telemetry)"
 
 
 @query("m01_fit_scaler", "telemetry", _FIT + ";; SELECT " + ", ".join(f"round(mean_{c}, 8) AS mean_{c}, round(std_{c}, 8) AS std_{c}" for c in SENSORS) + " FROM fit")
@@ -245,7 +251,7 @@ def _(v):
     return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
 
 
-@query("m02_apply_scaler", "telemetry", _FIT + ";; SELECT machine_id, datetime, " + ", ".join(f"round(({c} - mean_{c}) / std_{c}, 6) AS {c}" for c in SENSORS) + " FROM telemetry, fit")
+@query("m02_apply_scaler", "telemetry", _FIT + ";; SELECT machine_id, datetime, " + ", ".join(f"round(({c} - mean_{c}) / std_{c}, 6) AS {c}" for c in SENSORS) + " FROM telemetry CROSS JOIN fit")
 def _(v):
     rows = v.telemetry()
     out = SC.apply_scaler(rows, SC.fit_scaler(rows, SENSORS), SENSORS)
@@ -312,7 +318,8 @@ def _(v):
   s AS (SELECT machine_id, datetime, list([volt, rotate, pressure, vibration]) OVER w AS win, row_number() OVER (PARTITION BY machine_id ORDER BY datetime) AS n
     FROM telemetry WINDOW w AS (PARTITION BY machine_id ORDER BY datetime ROWS BETWEEN 23 PRECEDING AND CURRENT ROW));;
   SELECT machine_id, datetime, len(win)::INT AS n, round(list_sum(list_transform(win, lambda x, i: x[1] * i)), 4) AS volt_digest,
-    round(list_sum(list_transform(win, lambda x, i: x[2] * i)), 2) AS rotate_digest, round(list_sum(list_transform(win, lambda x, i: x[4] * i)), 4) AS vibration_digest
+    round(list_sum(list_transform(win, lambda x, i: x[2] * i)), 2) AS rotate_digest, round(list_sum(list_transform(win, lambda x, i: x[3] * i)), 4) AS pressure_digest,
+    round(list_sum(list_transform(win, lambda x, i: x[4] * i)), 4) AS vibration_digest
   FROM s WHERE n >= 24""")
 def _(v):
     """Windows shown by their length and position-weighted sums per sensor."""
@@ -324,7 +331,7 @@ def _(v):
 
     return out.select(
         *KEY, F.size("window").alias("n"), F.round(digest(0), 4).alias("volt_digest"),
-        F.round(digest(1), 2).alias("rotate_digest"), F.round(digest(3), 4).alias("vibration_digest"),
+        F.round(digest(1), 2).alias("rotate_digest"), F.round(digest(2), 4).alias("pressure_digest"), F.round(digest(3), 4).alias("vibration_digest"),
     )
 
 

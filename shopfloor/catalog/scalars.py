@@ -101,10 +101,11 @@ def _(v):
 
 
 @query("p04_drop_leakage", "", SQL_AI4I + """;; SELECT l_orderkey, l_linenumber, round(process - 273.15, 6) AS lens_temperature_c,
+  round(air - 273.15, 6) AS laser_source_temp_c, round(process - 273.15 - (air - 273.15), 6) AS delta_temperature, round(torque, 6) AS xy_axis_torque_nm,
   hdf AS target_lens_failure, osf AS target_gantry_failure FROM ai4i""")
 def _(v):
-    out = M.drop_leakage(M.laser_features(ai4i(v), LINE)).drop("laser_source_temp_c", "delta_temperature", "xy_axis_torque_nm")
-    return out.withColumn("lens_temperature_c", F.round("lens_temperature_c", 6))
+    out = M.drop_leakage(M.laser_features(ai4i(v), LINE))
+    return out.withColumns({c: F.round(c, 6) for c in ("lens_temperature_c", "laser_source_temp_c", "delta_temperature", "xy_axis_torque_nm")})
 
 
 def labelled_rows(v):
@@ -240,11 +241,11 @@ def _(v):
     return v.ev().select("event_id", shown.alias("shown"), S.parse_time(shown).alias("parsed"))
 
 
-@query("p19_payload", "telemetry", """SELECT machine_id, datetime, '{"volt":' || volt || ',"pressure":' || pressure || ',"original_machine_id":' || machine_id || '}' AS payload
+@query("p19_payload", "telemetry", """SELECT machine_id, datetime, '{"volt":' || volt || ',"rotate":' || rotate || ',"pressure":' || pressure || ',"vibration":' || vibration || ',"original_machine_id":' || machine_id || '}' AS payload
   FROM telemetry""")
 def _(v):
     rows = v.telemetry().withColumn("original_machine_id", F.col("machine_id"))
-    return rows.select(*KEY, S.to_payload(["volt", "pressure", "original_machine_id"]).alias("payload"))
+    return rows.select(*KEY, S.to_payload(["volt", "rotate", "pressure", "vibration", "original_machine_id"]).alias("payload"))
 
 
 @query("p20_payload_get", "", """SELECT event_id, CAST(props->>'$.k' AS INT) AS k_int, CAST(props->>'$.k' AS DOUBLE) AS k_float, props->>'$.k' AS k_text,

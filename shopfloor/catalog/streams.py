@@ -105,16 +105,25 @@ def _(v):
     return found.select("sensor", "cycle_id", F.col("samples")[0].alias("first"))
 
 
-@query("s13_reset_table", "ev", "SELECT event_id, machine_id, value FROM ev WHERE event_id % 2 = 0")
+@query("s13_reset_table", "ev", "SELECT event_id, machine_id, value FROM ev")
 def _(v):
     """Rows written before a reset are gone, rows after it stay."""
     rows, path = v.ev().select("event_id", "machine_id", "value"), new_path(v.spark, "reset")
-    tables.write_table(rows, path)
+    tables.write_table(rows.withColumn("value", F.col("value") + 1000), path)
     tables.reset_table(v.spark, path)
-    tables.write_table(rows.filter("event_id % 2 = 0"), path, "append")
+    tables.write_table(rows, path, "append")
     return v.spark.read.schema(rows.schema).parquet(path)
 
 
+@query("s07_normalize_columns", "", """SELECT event_id, ts AS event_time, event_type AS event_kind_raw, value AS "value_(mv)" FROM events""")
+def _(v):
+    """Headings with blanks, capitals and brackets as column names."""
+    rows = v.table("events")
+    return files.normalize_columns(rows.select(
+        F.col("event_id").alias("Event ID"), F.col("ts").alias("Event Time"), F.col("event_type").alias("Event Kind [raw]"), F.col("value").alias("VALUE (mV)"),
+    ))
+
+
 @query("s11_append_table", "ev", "SELECT event_id, machine_id, ts, value FROM ev")
 def _(v):
     """Ticks appended one part after the other give the whole table."""

@@ -94,7 +94,8 @@ def unify_target(df: DataFrame, kind: str, rule: str = "remediation", out: str =
             | F.coalesce(F.col("target_accumulator_state") < 115, F.lit(True))
         )
     else:
-        return df.filter(F.col(label).isNotNull()).withColumn(out, F.col(label).cast("int"))
+        number = to_number(F.col(label))  # a text that is no number is no label
+        return df.filter(number.isNotNull()).withColumn(out, number.cast("int"))
     return df.withColumn(out, risk.cast("int"))
 
 

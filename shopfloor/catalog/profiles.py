@@ -105,7 +105,7 @@ def _(v):
 REPORT_TABLES = {
     "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
     "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
-    "orders": ORDERS,
+    "orders": {**ORDERS, "o_orderdate": "timestamp_ntz"},
     "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
     "region": {"r_regionkey": "int", "r_name": "string"},
     "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
@@ -113,12 +113,17 @@ REPORT_TABLES = {
     "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
     "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
     "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
+    "lineitem": {**{c: "bigint" for c in ("l_orderkey", "l_partkey", "l_suppkey")}, "l_linenumber": "int", **{c: "double" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")},
+                 "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"},
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"},
 }
 
 
 def _report_sql(table: str, c: str, kind: str) -> str:
     opaque = kind.startswith("array")
-    lo, hi = (f"'{P.UNSUPPORTED}'",) * 2 if opaque else (f"CAST(min({c}) AS VARCHAR)", f"CAST(max({c}) AS VARCHAR)")
+    lo, hi = (f"'{P.UNSUPPORTED}'",) * 2 if opaque else tuple(f"CAST({f}({c}{' + 0.0' if kind == 'double' else ''}) AS VARCHAR)" for f in ("min", "max"))
     samples = f"'{P.UNSUPPORTED}'" if opaque else (
         f"(SELECT string_agg(CAST(x AS VARCHAR), ', ' ORDER BY x) FROM (SELECT DISTINCT {c} AS x FROM {table} WHERE {c} IS NOT NULL ORDER BY x LIMIT 3))")
     return f"""SELECT '{table}' AS "table", '{c}' AS "column", '{kind}' AS type, count(*) AS rows, count({c}) AS non_null,

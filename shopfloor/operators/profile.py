@@ -236,7 +236,9 @@ def _table_report(name: str, df: DataFrame, samples: int) -> DataFrame:
     for i, c in enumerate(cols):
         stats.append(F.count(_ref(c)).alias(f"{i}_non_null"))
         for side, agg in (("min", F.min), ("max", F.max)):
-            value = agg(_ref(c)).cast("string") if c in plain else F.lit(UNSUPPORTED)
+            # Adding zero makes one of both zeros, of which either may be met first.
+            zero = F.lit(0).cast(df.schema[c].dataType) if df.schema[c].dataType.typeName() in ("double", "float") else None
+            value = agg(_ref(c) if zero is None else _ref(c) + zero).cast("string") if c in plain else F.lit(UNSUPPORTED)
             stats.append(value.alias(f"{i}_{side}_value"))
     rows = [F.col("_rows").alias(f"{i}_rows") for i in range(len(cols))]
     kinds = [F.lit(df.schema[c].dataType.simpleString()).alias(f"{i}_type") for i, c in enumerate(cols)]

@@ -1,13 +1,16 @@
-"""N-gram Jaccard join with MinHash bands.
+"""N-gram Jaccard join with a MinHash LSH forest.
 
 1. A text becomes the set of hashes of its runs of five words. Texts with equal sets form a copy class; from here on one
    row stands for a class.
-2. Every tree is one band of min-hashes: a pair is a candidate where all min-hashes of two classes in a tree are equal. Their
-   number is fixed before any data are read: the largest with which a pair right at the similarity wanted has the expected
-   recall. It is not an LSH forest, whose prefixes adapt to what they find. Classes of one band are linked to the least.
+2. Every tree gives a set a signature of ``depth`` min-hashes; the classes that share a prefix of it are a node of the tree's
+   prefix trie. All classes of a node are linked to its least one: these links make candidate components. The search starts
+   with whole signatures and shortens the prefix, level by level, until the recall estimated from the links found reaches
+   ``recall``: a link of similarity s shares a prefix of m in some of k trees with probability p = 1 - (1 - s^m)^k, so it
+   stands for 1 / p links. Links that were found by way of a third class make the estimate too low, never too high. Where no
+   link was found, p at the similarity wanted is used. A level verifies only the components that it has changed.
 3. Candidate components are cut into blocks by their total size, and every pair of blocks of a component is verified
    exactly in one task: sizes of intersections are products of incidence matrices whose equal columns are merged. A task
-   puts out the number of links of each class and a spanning forest, never pairs.
+   puts out the number of links of each class, what they stand for, and a spanning forest, never pairs.
 4. Components of the spanning forests are the result's classes.
 
 A text of fewer than five words has one run; one without words has none, links with nothing and is a class of its own with
@@ -31,7 +34,7 @@ from .common import fresh, require
 from .graph import components
 
 N, SIMILARITY = 5, 0.8
-TREES, DEPTH, RECALL = 20, 8, 0.99
+TREES, DEPTH, RECALL = 20, 7, 0.998
 #: Classes, and runs, in a block of a candidate component.
 BLOCK_CLASSES, BLOCK_RUNS = 400, 1_000_000
 #: Words a worker remembers, and runs hashed at once.
@@ -39,12 +42,9 @@ REMEMBERED, AT_ONCE = 400_000, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def matched_depth(similarity: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix with which a pair of this similarity meets in some tree with the recall wanted."""
-    for matched in range(depth, 0, -1):
-        if 1 - (1 - similarity**matched) ** trees >= recall:
-            return matched
-    raise ValueError(f"{trees} trees do not reach a recall of {recall} at similarity {similarity}")
+def meets(similarity, trees: int, matched: int):
+    """The probability that sets of this similarity share a prefix of ``matched`` min-hashes in some tree."""
+    return 1 - (1 - similarity**matched) ** trees
 
 
 class _WordHashes(dict):
@@ -78,42 +78,40 @@ def set_key(runs: np.ndarray) -> bytes:
 
 
 class Forest:
-    """Prefix keys of sets in every tree."""
+    """Signatures of sets: for every tree ``depth`` min-hashes of 16 bits, all trees in one string of bytes."""
 
-    def __init__(self, trees: int, matched: int):
+    def __init__(self, trees: int, depth: int):
         rng = np.random.default_rng(20)
-        self.trees, self.matched = trees, matched
-        self.flip = rng.integers(0, 2**32, trees * matched, dtype=np.uint32)
-        self.odd = rng.integers(0, 2**31, trees * matched, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.hashes = trees * depth
+        self.flip = rng.integers(0, 2**32, self.hashes, dtype=np.uint32)
+        self.odd = rng.integers(0, 2**31, self.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def prefixes(self, sets: list[np.ndarray]) -> np.ndarray:
-        """A row of one key per tree for every set; sets are not empty."""
+    def signatures(self, sets: list[np.ndarray]) -> list[bytes]:
+        """Sets are not empty."""
         flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
         sizes = np.array([len(s) for s in sets])
         starts = np.cumsum(sizes) - sizes
-        out = np.zeros((len(sets), self.trees), np.uint64)
-        for k in range(self.trees * self.matched):
-            least = np.minimum.reduceat((flat ^ self.flip[k]) * self.odd[k], starts).astype(np.uint64)
-            tree = k // self.matched
-            out[:, tree] = (out[:, tree] ^ least) * _MIX
-            out[:, tree] ^= out[:, tree] >> np.uint64(32)
-        return out.view(np.int64)
+        out = np.zeros((len(sets), self.hashes), ">u2")
+        for k in range(self.hashes):
+            # A minimum is small; the product spreads it over all bits.
+            out[:, k] = (np.minimum.reduceat((flat ^ self.flip[k]) * self.odd[k], starts) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+        return [row.tobytes() for row in out]
 
 
-def features(docs: DataFrame, n: int, trees: int, matched: int) -> DataFrame:
-    """(doc_id, row, key, runs, prefixes) of every row; ``row``, a hash of the text, tells texts of one id apart."""
+def features(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
+    """(doc_id, row, key, runs, signature) of every row; ``row``, a hash of the text, tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(trees, matched)
+        forest = Forest(trees, depth)
 
         def made(ids: list, rows_: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
-            rows = iter(forest.prefixes(full).tolist() if full else [])
+            signed = iter(forest.signatures(full) if full else [])
             columns = [
                 pa.array(ids, pa.int64()), pa.array(rows_, pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([next(rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                pa.array([next(signed) if len(s) else None for s in sets], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "key", "runs", "prefixes"])
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "key", "runs", "signature"])
 
         for batch in batches:
             ids, texts, sets, size = [], [], [], 0
@@ -128,7 +126,7 @@ def features(docs: DataFrame, n: int, trees: int, matched: int) -> DataFrame:
             if ids:
                 yield made(ids, texts, sets)
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, key binary, runs long, prefixes array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, key binary, runs long, signature binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -156,18 +154,23 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(rows: list[tuple], same: bool, similarity: float) -> list[tuple]:
-    """(key, links, root) of the classes in a pair of blocks; pairs inside one block count in that block's own pair only."""
+def _verified(rows: list[tuple], same: bool, similarity: float, trees: int, matched: int) -> list[tuple]:
+    """(key, links, expected, root) of the classes in a pair of blocks; pairs inside one block count in that block's own pair only.
+
+    ``expected`` is the number of links that those found stand for.
+    """
     sets = [np.frombuffer(r[2], np.uint64) for r in rows]
     side = np.array([r[1] for r in rows])
     copies = np.array([r[3] for r in rows], np.float64)
     sizes = np.array([len(s) for s in sets], np.float64)
     both = overlaps(sets).astype(np.float64)
-    linked = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    either = sizes[:, None] + sizes[None, :] - both
+    linked = both >= similarity * either - 1e-6
     np.fill_diagonal(linked, False)
     if not same:
         linked &= side[:, None] != side[None, :]
     links = linked @ copies
+    expected = np.where(linked, 1 / meets(np.maximum(both / either, similarity), trees, matched), 0) @ copies
     root = np.arange(len(rows))
     while True:
         least = np.minimum(root, np.where(linked, root[None, :], len(rows)).min(axis=1))
@@ -175,20 +178,20 @@ def _verified(rows: list[tuple], same: bool, similarity: float) -> list[tuple]:
         if (least == root).all():
             break
         root = least
-    return [(r[0], int(k), rows[int(j)][0]) for r, k, j in zip(rows, links, root, strict=True) if k]
+    return [(r[0], int(k), float(e), rows[int(j)][0]) for r, k, e, j in zip(rows, links, expected, root, strict=True) if k]
 
 
-def verify(members: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(key, links, root) for ``members`` (component, first, second, block, key, copies, text), sorted by pair of blocks."""
+def verify(members: DataFrame, n: int, similarity: float, trees: int, matched: int) -> DataFrame:
+    """(key, links, expected, root) for ``members`` (component, first, second, block, key, copies, text), sorted by pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, keys = None, [], set()
 
         def done() -> pa.RecordBatch:
-            out = _verified(rows, group[1] == group[2], similarity) if len(rows) > 1 else []
+            out = _verified(rows, group[1] == group[2], similarity, trees, matched) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())],
-                names=["key", "links", "root"],
+                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.float64(), pa.binary()))],
+                names=["key", "links", "expected", "root"],
             )
 
         for batch in batches:
@@ -209,7 +212,29 @@ def verify(members: DataFrame, n: int, similarity: float) -> DataFrame:
             yield done()
 
     columns = ["component", "first", "second", "block", "key", "copies", "text"]
-    return members.select(*columns).mapInArrow(run, "key binary, links long, root binary")
+    return members.select(*columns).mapInArrow(run, "key binary, links long, expected double, root binary")
+
+
+def _candidates(classes: DataFrame, trees: int, depth: int, matched: int) -> DataFrame:
+    """(key, component, of, copies, runs) of the classes that share a prefix of ``matched`` min-hashes with another, directly or through others."""
+    spread = classes.select("key", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    entries = spread.select("key", F.expr(f"xxhash64(tree, substring(signature, tree * {2 * depth} + 1, {2 * matched}))").alias("node"))
+    heads = entries.groupBy("node").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    heads = materialize(heads, "join-heads")
+    near = components(entries.join(heads, "node").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct())
+    grouped = near.select(F.col("node").alias("key"), F.col("label").alias("component")).join(classes.select("key", "of", "copies", "runs"), "key")
+    return materialize(grouped, "join-candidates")
+
+
+def _dealt(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The classes of ``placed`` (key, component, of, copies, blocks) with their texts, once for every pair of blocks they belong to, dealt and sorted by it."""
+    blocks = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    held = blocks.join(texts, blocks["of.doc_id"].eqNullSafe(texts["doc_id"]) & (blocks["of.row"] == texts["row"]))
+    pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "key", "copies", "text"
+    )
+    return pairs.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second")
 
 
 def near_copies(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
@@ -224,28 +249,25 @@ def members(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, trees:
     ``n_copies`` the number of rows with the same runs, ``n_links`` the number of other rows of at least ``similarity``.
     """
     require(docs, "doc_id", "text")
-    found = materialize(features(docs, n, trees, matched_depth(similarity, trees, depth, recall)), "join-features")
-    classes = found.where("runs > 0").groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies"), F.first("runs").alias("runs"), F.first("prefixes").alias("prefixes"))
+    found = materialize(features(docs, n, trees, depth), "join-features")
+    first = F.min(F.struct("doc_id", "row")).alias("of")
+    classes = found.where("runs > 0").groupBy("key").agg(F.min("doc_id").alias("copy_of"), first, F.count(F.lit(1)).alias("copies"), F.first("runs").alias("runs"), F.first("signature").alias("signature"))
     classes = materialize(classes, "join-classes")
 
-    entries = classes.select("key", F.posexplode("prefixes").alias("tree", "prefix"))
-    heads = entries.groupBy("tree", "prefix").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    heads = materialize(heads, "join-heads")
-    near = components(entries.join(heads, ["tree", "prefix"]).where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct())
-
-    grouped = near.select(F.col("node").alias("key"), F.col("label").alias("component")).join(classes.drop("prefixes"), "key")
-    grouped = materialize(grouped, "join-candidates")
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("runs") / BLOCK_RUNS))
-    sizes = materialize(grouped.groupBy("component").agg(parts.cast("long").alias("blocks")), "join-sizes")
-    placed = grouped.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("copy_of"), "text")
-    held = placed.join(texts, placed["copy_of"].eqNullSafe(texts["copy_of"])).drop("copy_of")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    pairs = held.withColumn("other", other).select(
-        "component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "key", "copies", "text"
-    )
-    dealt = pairs.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second")
-    links = materialize(verify(dealt, n, similarity), "join-links")
+    links = done = None
+    for matched in range(depth, 0, -1):
+        grouped = _candidates(classes, trees, depth, matched)
+        parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("runs") / BLOCK_RUNS)).cast("long").alias("blocks")
+        sizes = materialize(grouped.groupBy("component").agg(parts, F.bit_xor(F.xxhash64("key")).alias("mark")), "join-sizes")
+        # A component of the same classes as before has been verified.
+        changed = sizes if done is None else sizes.join(done.select("component", "mark"), ["component", "mark"], "left_anti")
+        placed = grouped.join(changed.drop("mark"), "component")
+        more = materialize(verify(_dealt(placed, docs), n, similarity, trees, matched), "join-links")
+        links = more if done is None else materialize(links.join(placed.select("key"), "key", "left_anti").union(more), "join-links")
+        done = sizes
+        seen, stands_for = links.agg(F.sum("links"), F.sum("expected")).first()
+        if (seen / stands_for if seen else meets(similarity, trees, matched)) >= recall:
+            break
 
     labels = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))

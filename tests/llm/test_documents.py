@@ -179,11 +179,36 @@ def test_blocks_do_not_change_links(spark, monkeypatch):
     assert by_id(ngram_join.near_copies(frame(spark)).collect(), "class_id", "n_links") == want
 
 
-def test_matched_depth_shortens_with_recall():
-    assert ngram_join.matched_depth(0.8, 20, 8, 0.99) == 7
-    assert ngram_join.matched_depth(0.8, 20, 8, 0.999) < 7
-    with pytest.raises(ValueError):
-        ngram_join.matched_depth(0.1, 2, 8, 0.99)
+def test_prefixes_shorten_until_the_recall_wanted(spark):
+    """Near copies at 0.8 to 0.85 rarely share 30 min-hashes: whole signatures find few of them, shortened ones all."""
+    assert ngram_join.meets(0.8, 20, 7) > 0.99 > ngram_join.meets(0.8, 20, 8)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(f"z{k}" if at == 13 * k or at in range(20 * k, 20 * k + 15, 5) else w for at, w in enumerate(base))) for k in range(8)]
+    sets = [runs(t) for _, t in rows]
+    links = sum(5 * len(a & b) >= 4 * len(a | b) for a in sets for b in sets) - len(sets)
+    found = lambda **how: sum(r["n_links"] for r in ngram_join.near_copies(frame(spark, rows), depth=30, **how).collect())
+    assert links > 20
+    assert found(recall=0.0) < links
+    assert found() == links
+
+
+def test_recall_on_the_test_table(spark):
+    """Links of every row of the small table against exact counts of shared runs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: runs(r["text"]) for r in docs.collect()}
+    holders, shared = defaultdict(list), Counter()
+    for doc, held in sets.items():
+        for run in held:
+            shared.update((other, doc) for other in holders[run])
+            holders[run].append(doc)
+    want = Counter()
+    for (a, b), c in shared.items():
+        if 5 * c >= 4 * (len(sets[a]) + len(sets[b]) - c):
+            want.update((a, b))
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_copies(docs).collect()}
+    assert sum(want.values()) > 50
+    assert all(got[d] <= want[d] for d in got)
+    assert sum(got.values()) >= 0.99 * sum(want.values())
 
 
 def test_first_of_each_knows_rows_by_their_text(spark):

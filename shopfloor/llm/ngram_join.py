@@ -34,7 +34,7 @@ from .common import fresh, require
 from .graph import components
 
 N, SIMILARITY = 5, 0.8
-TREES, DEPTH, RECALL = 20, 7, 0.998
+TREES, DEPTH, RECALL = 20, 7, 0.99
 #: Classes, and runs, in a block of a candidate component.
 BLOCK_CLASSES, BLOCK_RUNS = 400, 1_000_000
 #: Words a worker remembers, and runs hashed at once.

@@ -7,15 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SENSORS
+from ..constants import COMPONENTS, ERRORS, SENSORS
 from ..fixtures import EVENTS, TELEMETRY, feed
 from ..functions.scalars import operation_level, risk_tier, to_payload
 from ..operators.machine_etl import press_brake_features
-from ..session import new_path
+from ..operators.scaling import fit_scaler
+from ..plans.erp import erp_matrix
+from ..session import materialize, new_path
 from ..sources import files, tables
 from ..streaming import jobs, sources, state
 from .alerts import SQL_HISTORY
-from .events import KEY
+from .events import KEY, SQL_ERROR_FEATURES, SQL_SINCE
 from .profiles import ORDERS, orders
 from .registry import query
 
@@ -157,21 +159,38 @@ def _(v):
     return once.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("t03_live_windows", "ev", """
-  s AS (SELECT event_id, machine_id, ts, list([value, k]) OVER w AS win, row_number() OVER (PARTITION BY machine_id ORDER BY ts, event_id) AS n
-    FROM ev WINDOW w AS (PARTITION BY machine_id ORDER BY ts, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW));;
-  SELECT event_id, machine_id, ts, len(win)::INT AS n, round(list_sum(list_transform(win, lambda x, i: x[1] * i)), 4) AS digest FROM s WHERE n >= 24""")
+SQL_WINDOWS = """
+  p AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(k) AS mk, stddev_pop(k) AS sk FROM ev),
+  s AS (SELECT event_id, machine_id, ts, list([(value - mv) / sv, (k - mk) / sk]) OVER w AS win
+    FROM ev CROSS JOIN p WINDOW w AS (PARTITION BY machine_id ORDER BY ts, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW));;
+  SELECT event_id, machine_id, ts, len(win)::INT AS n,
+    round(list_sum(list_transform(win, lambda x, i: (x[1] + 2 * x[2]) * i)) / len(win), 4) AS digest FROM s"""
+
+
+def digested(windows):
+    """A number that depends on every value of a window and on its place."""
+    weighted = F.transform("window", lambda x, i: (x[0] + 2 * x[1]) * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
+    return windows.select("event_id", "machine_id", "ts", F.size("window").alias("n"), F.round(total / F.size("window"), 4).alias("digest"))
+
+
+@query("t03_live_windows", "ev", SQL_WINDOWS + " WHERE len(win) >= 24")
 def _(v):
-    """Windows emitted over several micro-batches equal those of one batch."""
+    """Scaled windows emitted over several micro-batches equal those of one batch."""
     rows = v.ev().select("event_id", "machine_id", "ts", "value", "k")
-    job = jobs.live_windows(rows.schema, EVENTS, ["value", "k"], new_path(v.spark, "live-windows"))
+    cols = ["value", "k"]
+    job = jobs.live_windows(rows.schema, EVENTS, cols, new_path(v.spark, "live-windows"), scaler=fit_scaler(rows, cols))
     fed(v, rows, "ts", "ticks", job.start)
-    out = job.result(v.spark)
-    weighted = F.transform("window", lambda x, i: x[0] * (i + 1))
-    return out.select(
-        "event_id", "machine_id", "ts", F.size("window").alias("n"),
-        F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4).alias("digest"),
-    )
+    return digested(job.result(v.spark))
+
+
+@query("t03_live_window_store", "ev", SQL_WINDOWS + " WHERE len(win) >= 2")
+def _(v):
+    """The same windows, from two rows on, out of Spark's state store."""
+    rows = v.ev().select("event_id", "machine_id", F.col("ts").cast("timestamp").alias("ts"), "value", "k")
+    cols, scaler = ["value", "k"], fit_scaler(rows, ["value", "k"])
+    out = appended(v, rows, "ts", "stored-windows", lambda stream: state.window_state(stream, cols, scaler=scaler, delay="0 seconds"))
+    return digested(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 @query("t04_alert_states", "scores", SQL_HISTORY + ";; SELECT * FROM shown")
@@ -202,6 +221,30 @@ def _(v):
     return appended(v, scores(v), "ts", "enriched", make)
 
 
+STATE = [*ERRORS, *COMPONENTS, "age"]
+
+
+@query("t05_enrich_live", "ev errors maint machines scores", f"""telemetry AS (SELECT DISTINCT machine_id, date_trunc('hour', ts)::TIMESTAMP AS datetime FROM ev),
+  {SQL_ERROR_FEATURES}, {SQL_SINCE};;
+  SELECT s.event_id, s.machine_id, s.ts, s.risk, {", ".join(f"e.{c}" for c in ERRORS)}, {", ".join(f"round(d.{c}, 6) AS {c}" for c in COMPONENTS)},
+    coalesce(m.age, -1) AS age, coalesce(m.model, 'N/A') AS model, coalesce(m.machine_type, 'N/A') AS machine_type
+  FROM scores s JOIN error_sums e ON e.machine_id = s.machine_id AND e.datetime = date_trunc('hour', s.ts)
+    JOIN since d ON d.machine_id = s.machine_id AND d.datetime = e.datetime LEFT JOIN machines m ON m.machine_id = s.machine_id""")
+def _(v):
+    """Scored ticks joined as a stream with the ten state features of their machine-hour, which come as a second stream."""
+    ticks = scores(v).withColumn("ts", F.col("ts").cast("timestamp"))
+    hours = v.ev().select("machine_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime")).distinct()
+    states = erp_matrix(hours, v.errors(), v.maint(), v.failures(), v.machines(), TELEMETRY).select("machine_id", "datetime", *STATE)
+    states = materialize(states.withColumn("datetime", F.col("datetime").cast("timestamp")), "live-states")
+    machines = v.machines().select("machine_id", "model", "machine_type")
+    folder = new_path(v.spark, "enriched-live")
+    for left, right in zip(feed(ticks, "ts", CUTS, "live-ticks"), feed(states, "datetime", CUTS, "live-states-feed")):
+        out = jobs.enrich_live(sources.file_stream(v.spark, left, ticks.schema), sources.file_stream(v.spark, right, states.schema), machines)
+        jobs.stream_to_table(out, folder)
+    rows = jobs.table(v.spark, folder, out.schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rows.withColumns({c: F.round(c, 6) for c in COMPONENTS}).na.fill("N/A").na.fill(-1, ["age"])
+
+
 @query("t06_upsert_latest", "live_metrics", """SELECT machine_id, event_id, load_percentage, CASE WHEN load_percentage < 50 THEN 1
   WHEN load_percentage < 80 THEN 2 ELSE 3 END AS operation_level, updated_at FROM live_metrics
   QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY updated_at DESC, event_id DESC) = 1""")

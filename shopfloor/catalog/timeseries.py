@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ERRORS, SENSORS
+from ..constants import ERRORS, EXPERTS, SENSORS
 from ..fixtures import EVENTS, TELEMETRY
 from ..operators import events as E
 from ..operators import timeseries as TS
+from ..operators.series import DAY, Series
+from ..plans.experts import expert_dataset
 from .events import KEY, SQL_ERROR_FEATURES, grid
 from .registry import query
 
@@ -66,6 +71,26 @@ def _(v):
     return TS.lookahead_max(rows, EVENTS, "target", 48).drop("target")
 
 
+def _ahead(rows: int) -> str:
+    return f"""
+  SELECT event_id, ts, CASE WHEN lead(1, {rows}) OVER w IS NULL THEN 0 ELSE
+    max(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND {rows} FOLLOWING) END AS risk_ahead
+  FROM ev WINDOW w AS (ORDER BY ts, event_id)"""
+
+
+def _ahead_of_all(rows: int):
+    def build(v):
+        """The look-ahead of the expert registry over the feed of all machines as one series."""
+        one = Series((), EVENTS.order, DAY)
+        return TS.lookahead_max(v.ev().select("event_id", "ts", "value"), one, "value", rows).drop("value")
+
+    return build
+
+
+for _rows in sorted({e["lookahead"] for e in EXPERTS}):
+    query(f"w04_lookahead_{_rows}", "ev", _ahead(_rows))(_ahead_of_all(_rows))
+
+
 @query("w05_has_history", "telemetry", """
   SELECT machine_id, datetime, row_number() OVER (PARTITION BY machine_id ORDER BY datetime) >= 24 AS has_history
   FROM telemetry""")
@@ -153,3 +178,42 @@ def _(v):
 def _(v):
     rows = v.scores().select("event_id", "machine_id", "ts", "risk")
     return TS.risk_trend(rows, EVENTS, "risk").withColumn("trend", F.round("trend", 6)).drop("risk")
+
+
+# Sensors stand in for the columns of the expert files, the speed for the wear to come.
+def _expert_sql(kind: str, n: int, ahead: int) -> tuple[str, str]:
+    cols = [*SENSORS, "age"]
+    params = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in cols)
+    steps = " + ".join(f"{i} * ({c} - m_{c}) / s_{c}" for i, c in enumerate(SENSORS, 1))
+    parts = f"""l_{kind} AS (SELECT *, CASE WHEN lead(1, {ahead}) OVER w IS NULL THEN 0 ELSE
+      max(rotate) OVER (ORDER BY datetime, machine_id ROWS BETWEEN 1 FOLLOWING AND {ahead} FOLLOWING) END AS label,
+      row_number() OVER w - 1 < floor(count(*) OVER () * CAST(0.8 AS DOUBLE)) AS is_train
+    FROM t WHERE machine_type = '{kind}' WINDOW w AS (ORDER BY datetime, machine_id)),
+  p_{kind} AS (SELECT {params} FROM l_{kind} WHERE is_train),
+  s_{kind} AS (SELECT machine_type, machine_id, datetime, is_train, label, round((age - m_age) / s_age, 6) AS age, list({steps}) OVER
+      (PARTITION BY is_train ORDER BY datetime, machine_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS win
+    FROM l_{kind} CROSS JOIN p_{kind})"""
+    final = f"""SELECT machine_type, machine_id, datetime, is_train, label, age, len(win)::INT AS n,
+    round(list_sum(list_transform(win, lambda x, i: x * i)) / len(win), 3) AS digest FROM s_{kind} WHERE len(win) = {n}"""
+    return parts, final
+
+
+_EXPERT_PARTS = [_expert_sql(e["kind"], e["time_steps"], e["lookahead"]) for e in EXPERTS]
+
+
+@query("e01_expert_dataset", "telemetry machines", """t AS (SELECT t.*, m.machine_type, m.age FROM telemetry t JOIN machines m USING (machine_id)),
+  """ + ",\n  ".join(p for p, _ in _EXPERT_PARTS) + ";;\n  " + "\n  UNION ALL ".join(f for _, f in _EXPERT_PARTS))
+def _(v):
+    """Labelled, split, scaled windows of each expert's machines, with the lengths of the registry."""
+    rows = v.telemetry().join(v.machines().select("machine_id", "machine_type", "age"), "machine_id")
+    s = Series(("machine_type",), ("datetime", "machine_id"), 7 * DAY)
+    sets = [
+        expert_dataset(rows.filter(F.col("machine_type") == e["kind"]), s, SENSORS, ["age"], "rotate", e["time_steps"], e["lookahead"])
+        for e in EXPERTS
+    ]
+    step = lambda x: sum(((i + 1) * x[i] for i in range(1, len(SENSORS))), x[0])
+    total = F.aggregate(F.transform("window", lambda x, i: step(x) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return reduce(DataFrame.unionByName, sets).select(
+        "machine_type", "machine_id", "datetime", "is_train", "label", F.round("age", 6).alias("age"), F.size("window").alias("n"),
+        F.round(total / F.size("window"), 3).alias("digest"),
+    )

@@ -82,34 +82,34 @@ def forward_fill(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
     return filled.withColumns({c: F.col(f"_f_{c}") for c in cols}).drop(*[f"_f_{c}" for c in cols])
 
 
-def lookahead_max(
-    df: DataFrame, s: Series, target: str, rows: int, out: str = "risk_ahead", tail: str = "zero", direct_rows: int = 64
-) -> DataFrame:
+def lookahead_max(df: DataFrame, s: Series, target: str, rows: int, out: str = "risk_ahead", tail: str = "zero") -> DataFrame:
     """Maximum of ``target`` over the next ``rows`` rows, the current one excluded.
 
-    Rows with fewer than ``rows`` successors get 0, or NULL with ``tail='null'``. Frames of
-    more than ``direct_rows`` rows are not evaluated row by row: a frame covers the end of
-    one block of ``rows`` rows and the start of the next, whose running maxima are enough.
+    Rows with fewer than ``rows`` successors get 0, or NULL with ``tail='null'``. A series is cut into blocks of ``rows``
+    positions. What lies ahead of position r of a block is the rest of the block and the next block up to its position r:
+    one running maximum from the back and one from the front. Each value is copied once, into the block before its own,
+    and a task holds two blocks at a time, whatever the length and however rows spread over slices.
     """
     otherwise = F.lit(0) if tail == "zero" else F.lit(None)
-
-    def build(w):
-        complete = F.lead(F.lit(True), rows).over(w).isNotNull()
-        label = F.when(complete, F.coalesce(F.col("_ahead"), otherwise)).otherwise(otherwise)
-        if rows <= direct_rows:
-            return [{"_ahead": F.max(target).over(w.rowsBetween(1, rows))}, {out: label}]
-        block = Window.partitionBy(*s.sliced, "_block")
-        upto, onward = block.orderBy(F.asc("_at")), block.orderBy(F.desc("_at"))
-        return [
-            {"_at": F.row_number().over(w)},
-            {"_block": F.floor(F.col("_at") / rows)},
-            {"_upto": F.max(target).over(upto), "_onward": F.max(target).over(onward)},
-            {"_ahead": F.greatest(F.lead("_onward", 1).over(w), F.lead("_upto", rows).over(w))},
-            {out: label},
-        ]
-
-    ahead = bounded(df, s, 0, rows, build, needs=[target])
-    return ahead.drop("_at", "_block", "_upto", "_onward", "_ahead")
+    number = F.floor(F.col("_at") / rows)
+    twice = F.when(number > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    both = ordinal(df, s, "_at").withColumn("_next", F.explode(twice))
+    # A copy carries its value and its place only.
+    both = both.select(
+        *[c if c in s.keys else F.when(~F.col("_next"), F.col(c)).alias(c) for c in df.columns],
+        "_next", F.col(target).alias("_v"), (number - F.col("_next").cast("int")).alias("_block"), (F.col("_at") % rows).alias("_at"),
+    )
+    block = Window.partitionBy(*s.keys, "_block")
+    # At equal positions the next block's row comes before the row it belongs to, in both directions.
+    upto = block.orderBy(F.asc("_at"), F.desc("_next")).rowsBetween(Window.unboundedPreceding, 0)
+    onward = block.orderBy(F.desc("_at"), F.desc("_next")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumns({
+        "_upto": F.max(F.when(F.col("_next"), F.col("_v"))).over(upto),
+        "_reach": F.max(F.when(F.col("_next"), F.col("_at"))).over(upto),
+        "_onward": F.max(F.when(~F.col("_next"), F.col("_v"))).over(onward),
+    }).filter(~F.col("_next"))
+    label = F.when(F.col("_reach") == F.col("_at"), F.coalesce(F.greatest("_upto", "_onward"), otherwise)).otherwise(otherwise)
+    return seen.withColumn(out, label).drop("_at", "_block", "_next", "_v", "_upto", "_reach", "_onward", SLICE)
 
 
 def has_history(df: DataFrame, s: Series, n: int = 24, out: str = "has_history") -> DataFrame:
@@ -142,16 +142,30 @@ def gaps(df: DataFrame, s: Series, out: str = "gap_seconds") -> DataFrame:
 def interpolate(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
     """Linear interpolation by row position.
 
-    NULLs before the first value stay, NULLs after the last value repeat it.
+    NULLs before the first value stay, NULLs after the last value repeat it. Every slice is summed up once, by its rows and
+    its first and last known value with their positions; what a slice needs from either side comes from that one table.
     """
-    numbered = ordinal(df, s, "_at")
-    marks = {
-        f"_p_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_at").alias("i"))) for c in cols
-    }
-    by_position = Series(s.keys, ("_at",), 100_000)
-    known = numbered.withColumns(marks)
-    both = carry(known, by_position, {f"_a_{c}": f"_p_{c}" for c in cols})
-    both = carry(both, by_position, {f"_b_{c}": f"_p_{c}" for c in cols}, forward=False)
+    numbered = with_slice(df, s).withColumn("_at", F.row_number().over(s.window()))
+    marked = numbered.withColumns(
+        {f"_p_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), F.col("_at").cast("long").alias("i"))) for c in cols}
+    )
+    picks = [f(f"_p_{c}", F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"{p}{c}") for c in cols for f, p in ((F.max_by, "_a_"), (F.min_by, "_b_"))]
+    summary = marked.groupBy(*s.sliced).agg(F.count("*").alias("_rows"), *picks)
+    before = lambda forward: s.over_slices(forward).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("_start", F.coalesce(F.sum("_rows").over(before(True)), F.lit(0)))
+
+    def moved(c: str) -> Column:
+        """The mark with its position in the whole series instead of the slice."""
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.v").alias("v"), (F.col(f"{c}.i") + F.col("_start")).alias("i")))
+
+    summary = summary.withColumns({f"{p}{c}": moved(f"{p}{c}") for c in cols for p in ("_a_", "_b_")})
+    summary = summary.select(*s.sliced, "_start", *[
+        F.last(f"{p}{c}", ignorenulls=True).over(before(forward)).alias(f"{p}{c}") for c in cols for p, forward in (("_a_", True), ("_b_", False))
+    ])
+    both = marked.join(summary, s.sliced, "left")
+    both = both.withColumn("_at", F.col("_at") + F.col("_start")).withColumns({f"_p_{c}": moved(f"_p_{c}") for c in cols})
+    near = lambda c, forward: F.last(f"_p_{c}", ignorenulls=True).over(s.window(forward).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({f"{p}{c}": F.coalesce(near(c, forward), F.col(f"{p}{c}")) for c in cols for p, forward in (("_a_", True), ("_b_", False))})
 
     def value(c: str) -> Column:
         left, right = F.col(f"_a_{c}"), F.col(f"_b_{c}")
@@ -160,7 +174,7 @@ def interpolate(df: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
         return F.when(F.col(c).isNotNull(), F.col(c)).when(right.isNull(), left["v"]).otherwise(line)
 
     out = both.withColumns({c: value(c) for c in cols})
-    return out.drop("_at", *[f"{p}{c}" for c in cols for p in ("_p_", "_a_", "_b_")])
+    return out.drop(SLICE, "_at", "_start", *[f"{p}{c}" for c in cols for p in ("_p_", "_a_", "_b_")])
 
 
 def ordered_index(df: DataFrame, order: Sequence[str], out: str = "row_index", partitions: int | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.scaling import apply_scaler
 from ..operators.series import Series
 from ..operators.windows import latest_per_key, sequences
 
@@ -145,9 +146,17 @@ class TailJob:
         return 0 if newest is None else spark.read.parquet(f"{self.folder}/marks/batch={newest}").first()["late"]
 
 
-def live_windows(schema, s: Series, cols: Sequence[str], folder: str, keep: Sequence[str] = (), n: int = 24, delay: str = "1 day") -> TailJob:
-    """Window of the last ``n`` rows at every tick of a stream."""
-    return TailJob(folder, schema, s, n - 1, lambda rows: sequences(rows, s, cols, n, keep=[*keep, "_new"]), delay)
+def live_windows(
+    schema, s: Series, cols: Sequence[str], folder: str, keep: Sequence[str] = (), n: int = 24, delay: str = "1 day",
+    min_rows: int | None = None, scaler: DataFrame | None = None,
+) -> TailJob:
+    """Window of the last ``n`` rows at every tick of a stream, scaled by the one row of ``scaler``, from ``min_rows`` rows on."""
+
+    def compute(rows: DataFrame) -> DataFrame:
+        scaled = rows if scaler is None else apply_scaler(rows, scaler, cols)
+        return sequences(scaled, s, cols, n, keep=[*keep, "_new"], min_rows=min_rows)
+
+    return TailJob(folder, schema, s, n - 1, compute, delay)
 
 
 def alert_states(schema, s: Series, folder: str, risk: str = "risk", delay: str = "1 day") -> TailJob:
@@ -163,6 +172,21 @@ def enrich(stream: DataFrame, machines: DataFrame, erp: DataFrame | None, keys:
     return out if erp is None else out.join(erp, [*keys, ts], "left")
 
 
+def enrich_live(
+    stream: DataFrame, states: DataFrame, machines: DataFrame, keys: Sequence[str] = ("machine_id",), ts: str = "ts", at: str = "datetime",
+    delay: str = "1 hour",
+) -> DataFrame:
+    """Stream rows with the state of their machine-hour from a second stream, and with machine attributes.
+
+    Both sides meet on (machine, hour), so a machine that sends a third of all rows is spread over its hours, and both forget
+    an hour once the watermark, ``delay`` behind the slower side, has passed it. A row comes out as soon as its state is there,
+    whichever side arrives first; a row whose hour passes without a state comes out then, its state NULL.
+    """
+    left = stream.withColumn("_hour", F.date_trunc("hour", ts)).withWatermark("_hour", delay)
+    right = states.withColumn("_hour", F.date_trunc("hour", at)).drop(at).withWatermark("_hour", delay)
+    return left.join(right, [*keys, "_hour"], "left_outer").join(machines, list(keys), "left").drop("_hour")
+
+
 def upsert_latest(stream: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str, trigger: dict | None = None) -> StreamingQuery:
     """Latest row per key, refreshed by every micro-batch into a new numbered table; ``latest`` reads it."""
     schema = stream.schema

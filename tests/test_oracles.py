@@ -17,7 +17,7 @@ SPREAD = [
     "m09_linear_scores", "p05_unify_target_remediation", "p10_remediate_laser", "p21_text", "t06_upsert_latest", "t08_live_status",
     "a13_column_count", "j07_lookup_erp", "m10_missing_models", "s04_read_whitespace", "s05_scan_tree", "s06_read_optional", "s07_read_sensors",
     "s13_reset_table", "t03_live_windows", "t04_alert_states", "t05_enrich_stream", "t07_write_predictions", "w01_rolling_sum_hours", "w15_progress",
-    "w08_interpolate", "w11_sequences", "w14_reasons", "w16_ordered_index", "w17_synthetic_sequence", "w18_slice_by_ordinal",
+    "e01_expert_dataset", "t03_live_window_store", "t05_enrich_live", "w04_lookahead_1000", "w08_interpolate", "w11_sequences", "w14_reasons", "w16_ordered_index", "w17_synthetic_sequence", "w18_slice_by_ordinal",
 ]
 NAMES = list(entry.oracle_sql()) if os.environ.get("SHOPFLOOR_ALL") else SPREAD
 

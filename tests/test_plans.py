@@ -53,3 +53,10 @@ def test_top_n_is_cut_before_the_shuffle(spark):
 
 def test_borders_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in built(spark, "w01_rolling_sum")
+
+
+@pytest.mark.parametrize("name, scans, exchanges", [("w04_lookahead_max", 2, 6), ("w04_lookahead_2880", 2, 6), ("w08_interpolate", 2, 6)])
+def test_one_summary_per_slice(spark, name, scans, exchanges):
+    """Look-ahead of any length has one plan: rows, their slice counts, and one copy for the block before."""
+    text = built(spark, name).split("\n\n")[0]
+    assert text.count("Scan parquet") <= scans and text.count("Exchange") <= exchanges

@@ -37,3 +37,12 @@ def test_query_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     verdict = compare(got, duck.execute(entry.oracle_sql()[name]).df())
     assert not verdict or verdict.startswith("near"), verdict
+
+
+def test_top_correlations_keep_every_column(spark, duck):
+    """All eight numeric columns of ``lineitem`` come back, from the query and from its SQL."""
+    names = {f.name for f in spark.read.parquet(f"{SF}/lineitem.parquet").schema if f.dataType.typeName() in ("long", "integer", "double")}
+    got = entry.queries()["a10_top_correlations"](spark, SF).toPandas()
+    want = duck.execute(entry.oracle_sql()["a10_top_correlations"]).df()
+    assert set(got["column"]) == set(want["column"]) == names
+    assert not compare(got, want)

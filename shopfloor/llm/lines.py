@@ -1,9 +1,9 @@
 r"""Line dedup by an exact set-similarity join.
 
 A line is the set of its words. Lines with equal sets form a class that stands in one row from then on; its first line, by
-document and place, is the class's own place. Words are ordered by rarity, then by their hash; any order gives the same result,
-so rarity comes from the words of about ``SAMPLE`` documents, chosen by a hash of their ids, whose counts are kept in hash
-buckets. Two sets of Jaccard similarity t share a word among their first n - ceil(t n) + 1 words, so
+document and place, is the class's own place. Words are ordered by rarity, then by their hash. Rarity comes from the words of
+all documents, whose counts are kept in hash buckets; any order gives the same result. Two sets of Jaccard similarity t share a
+word among their first n - ceil(t n) + 1 words, so
 
 1. classes meet on words of these prefixes, if their lengths and the places of the common word allow the overlap needed, and
    if parity maps of their words differ in no more bits than the sets may differ in words; a map of 64 bits goes with the
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from .common import SPACE, fresh, require, written
 
 SIMILARITY = 0.8
-#: Documents whose words give the order of rarity.
-SAMPLE = 5_000
 #: Buckets of word counts: an array of so many bytes is sent to all tasks.
 BUCKETS = 1 << 18
 #: Classes with a word in their prefixes above which they are first held against the first of them.
@@ -58,10 +56,8 @@ def bucket(hashed: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row: a level of every bucket, four to each doubling of its words in the sample, as an array of bytes."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(every)) == 0)
-    spread = some.select(F.explode(spaced_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
+    """One row: a level of every bucket, four to each doubling of its words in all documents, as an array of bytes."""
+    spread = docs.select(F.explode(spaced_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
     counts = spread.groupBy(bucket(F.xxhash64("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(4 * F.log2(F.lit(1.0) + F.coalesce("n", F.lit(0)))), F.lit(127)).cast("tinyint")
     full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", level.alias("level"))

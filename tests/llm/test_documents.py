@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopfloor.llm import bpe, decontaminate, lines, ngram_join, pii, quality, spans, suffix
 from shopfloor.llm.queries import WORD_BPE
@@ -373,6 +375,13 @@ def test_without_lines_rebuilds_texts(spark):
     assert lines.line_report(empty(spark)).collect() == []
 
 
+def test_rarity_counts_the_words_of_all_documents(spark):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("same\nsame").alias("text"))
+    at = docs.limit(1).select(lines.bucket(F.xxhash64(F.lit("same"))).alias("b")).first()["b"]
+    levels = lines.rarity(docs).first()["levels"]
+    assert levels[at] == math.floor(4 * math.log2(1 + 24_000)) and sum(1 for x in levels if x) == 1
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 

@@ -6,15 +6,16 @@ all documents, whose counts are kept in hash buckets; any order gives the same r
 word among their first n - ceil(t n) + 1 words, so
 
 1. classes meet on words of these prefixes, if their lengths and the places of the common word allow the overlap needed, and
-   if parity maps of their words differ in no more bits than the sets may differ in words; a map of 64 bits goes with the
-   prefixes, a finer one of 128 bits is looked at where a pair is left,
+   if parity maps of their words, of 128 bits, differ in no more bits than the sets may differ in words,
 2. the lines of the pairs left are read again and compared word by word, as 64-bit hashes.
 
-A class whose first line comes after the first line of a class it matches is gone. Since one earlier match is enough, words
-that stand in the prefixes of more than ``MANY`` classes, by an exact count, are looked at in two steps: all classes against the
-first one under the word, then those not yet gone against every earlier one; there the finer map is held against a pair at
-once. So a class meets at most ``MANY`` others under a word, or those that are left of a large group. A line is removed if it is not the first of its
-class or its class is gone: it has an equal or similar line before it in the table.
+A class whose first line comes after the first line of a class it matches is gone. Since one earlier match is enough, classes
+meet in two rounds, the same for every word. In the first one the classes under a word are dealt to ``MANY`` shares by their hash,
+and each meets the first class of the word and that of its share: work in proportion to the prefixes, after which few of a large
+group of near copies are left. In the second one those left meet each other and every earlier class that is gone; two that are
+gone do not meet. Both go over the words in ``PASSES`` parts, one after the other, so that the disk holds the prefixes of one part
+at a time. A line is removed if it is not the first of its class or its class is gone: it has an equal or similar line before it
+in the table.
 
 Only DataFrame functions are used. Lines without words, and all lines of a null text, are kept. Rows of one id and one text are
 one document; rows of one id with other texts are documents of their own, ordered by the hash of their text. A null id comes first. A document that has lost all its words is left out of ``without_lines``.
@@ -23,8 +24,9 @@ one document; rows of one id with other texts are documents of their own, ordere
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, fresh, require, written
@@ -32,8 +34,10 @@ from .common import SPACE, fresh, require, written
 SIMILARITY = 0.8
 #: Buckets of word counts: an array of so many bytes is sent to all tasks.
 BUCKETS = 1 << 18
-#: Classes with a word in their prefixes above which they are first held against the first of them.
+#: Shares of the classes with a word in their prefixes; those of a share are first held against the first of them.
 MANY = 100
+#: Parts of the words that classes meet on.
+PASSES = 4
 #: Words of 64 bits in the map of lines to read again, a table of fixed size.
 MAP_WORDS = 1 << 18
 
@@ -101,18 +105,14 @@ def _both(n: Column, m: Column, similarity: float) -> Column:
     return F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - 1e-9)
 
 
-def may_match(similarity: float, fine: bool = False) -> Column:
-    """Length, place and map filters for rows a and b (size: words and place in the prefix, coarse, fine if wanted) that share a word."""
+def may_match(similarity: float) -> Column:
+    """Length, place and map filters for rows a and b (size: words and place in the prefix, coarse, fine) that share a word."""
     n, m, at, to = (part(F.col(f"{side}.size")) for part in (_words, _at) for side in "ab")
     both = _both(n, m, similarity)
-    coarse = F.col("a.coarse").bitwiseXOR(F.col("b.coarse"))
+    coarse, fine = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("coarse", "fine"))
     may = (F.least(n, m) >= needed(F.greatest(n, m), similarity)) & (F.least(n - at, m - to) >= both) & (F.bit_count(coarse) <= n + m - 2 * both)
-    return may & (_apart(coarse, F.col("a.fine").bitwiseXOR(F.col("b.fine"))) <= n + m - 2 * both) if fine else may
-
-
-def _apart(coarse: Column, fine: Column) -> Column:
-    """Bits in which the maps of 128 classes differ, from the differences of both parts."""
-    return F.bit_count(fine) + F.bit_count(coarse.bitwiseXOR(fine))
+    # Bits in which the maps of 128 classes differ, from the differences of both parts.
+    return may & (F.bit_count(fine) + F.bit_count(coarse.bitwiseXOR(fine)) <= n + m - 2 * both)
 
 
 def _words(size: Column) -> Column:
@@ -123,16 +123,18 @@ def _at(size: Column) -> Column:
     return F.pmod(size, F.lit(2**31)).cast("int")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(id, first, before, first_before): the pairs (a, b) that pass the finer maps, the later class first."""
-    half = classes.select("id", F.struct("first", "id", "n", "coarse", "fine").alias("of"))
+def _postings(classes: DataFrame, part: int) -> DataFrame:
+    """(word, id, size, coarse, fine, doc) of the words of the prefixes that belong to a part."""
+    spread = classes.select("id", "n", "coarse", "fine", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("at", "word"))
+    size = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("size")
+    return spread.where(F.pmod("word", F.lit(PASSES)) == part).select("word", "id", size, "coarse", "fine", "doc")
+
+
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, first, before, first_before): the pairs (a, b), the later class first."""
+    half = classes.select("id", F.struct("first", "id").alias("of"))
     known = pairs.join(half.toDF("a", "x"), "a").join(half.toDF("b", "y"), "b")
-    both = _both(F.col("x.n"), F.col("y.n"), similarity)
-    apart = _apart(F.col("x.coarse").bitwiseXOR(F.col("y.coarse")), F.col("x.fine").bitwiseXOR(F.col("y.fine")))
-    left = known.where(apart <= F.col("x.n") + F.col("y.n") - 2 * both)
-    late = F.greatest(*(F.struct(F.col(f"{k}.first").alias("first"), F.col(f"{k}.id").alias("id")) for k in "xy"))
-    early = F.least(*(F.struct(F.col(f"{k}.first").alias("first"), F.col(f"{k}.id").alias("id")) for k in "xy"))
-    turned = left.select(late.alias("late"), early.alias("early"))
+    turned = known.select(F.greatest("x", "y").alias("late"), F.least("x", "y").alias("early"))
     return written(turned.select("late.id", "late.first", F.col("early.id").alias("before"), F.col("early.first").alias("first_before")), "line-pairs")
 
 
@@ -165,25 +167,26 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     classes = sets.groupBy("k1", "k2").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in carried])
     classes = written(classes.withColumnRenamed("k1", "id"), "line-classes")
 
-    spread = classes.select("id", "n", "coarse", "fine", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("at", "word"))
-    size = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("size")
-    exploded = spread.select("word", "id", size, "coarse", "fine", "doc")
-    many = written(spread.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MANY).select("word"), "line-many")
-    hot = exploded.join(many, "word", "left_semi")
-    cold = exploded.join(many, "word", "left_anti").select("word", "id", "size", "coarse")
     pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
-
-    heads = written(hot.groupBy("word").agg(F.min(F.struct("doc", "id", "size", "coarse", "fine")).alias("head")).select("word", "head.*"), "line-heads")
-    starred = hot.alias("a").join(heads.alias("b"), F.expr("a.word = b.word AND a.id <> b.id")).where(may_match(similarity, True))
-    near = _near(starred.select(*pair).distinct(), classes, similarity)
+    head = F.min(F.struct("doc", "id", "size", "coarse", "fine"))
+    heads = F.array(head.over(Window.partitionBy("word")), head.over(Window.partitionBy("word", F.pmod("id", F.lit(MANY)))))
+    pairs = []
+    for part in range(PASSES):
+        headed = _postings(classes, part).select(F.struct("id", "size", "coarse", "fine").alias("a"), heads.alias("heads"))
+        starred = headed.select("a", F.explode("heads").alias("b")).where("a.id <> b.id").where(may_match(similarity))
+        pairs.append(written(starred.select(*pair).distinct(), "line-met"))
+    near = _near(reduce(DataFrame.union, pairs).distinct(), classes)
     gone = written(_verified(near, docs, similarity), "line-gone")
 
-    met = cold.alias("a").join(cold.alias("b"), F.expr("a.word = b.word AND a.id < b.id")).where(may_match(similarity))
-    left = hot.join(gone, "id", "left_anti")
     # Of one document either class may be the later one; ``_near`` puts it first.
-    earlier = F.expr("a.word = b.word AND a.id <> b.id AND (b.doc IS NULL OR b.doc <= a.doc)")
-    more = left.alias("a").join(hot.alias("b"), earlier).where(may_match(similarity, True))
-    near = _near(met.select(*pair).union(more.select(*pair)).distinct(), classes, similarity)
+    earlier = F.expr("a.word = b.word AND (b.doc IS NULL OR b.doc <= a.doc)")
+    pairs = []
+    for part in range(PASSES):
+        left, past = (_postings(classes.join(gone, "id", how), part) for how in ("left_anti", "left_semi"))
+        met = left.alias("a").join(left.alias("b"), F.expr("a.word = b.word AND a.id < b.id")).where(may_match(similarity))
+        more = left.alias("a").join(past.alias("b"), earlier).where(may_match(similarity))
+        pairs.append(written(met.select(*pair).union(more.select(*pair)).distinct(), "line-met"))
+    near = _near(reduce(DataFrame.union, pairs).distinct(), classes)
     # A class known to be gone needs no other match.
     rest = _verified(near.join(gone, "id", "left_anti"), docs, similarity)
     gone = written(gone.union(rest).distinct().select("id", F.lit(True).alias("gone")), "line-gone")

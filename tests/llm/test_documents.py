@@ -382,6 +382,17 @@ def test_rarity_counts_the_words_of_all_documents(spark):
     assert levels[at] == math.floor(4 * math.log2(1 + 24_000)) and sum(1 for x in levels if x) == 1
 
 
+def test_a_group_of_near_copies_meets_its_first_lines_only(spark, monkeypatch):
+    """Pairs of lines to compare stay in proportion to a group of near copies; every copy but the first goes."""
+    monkeypatch.setattr(lines, "MANY", 4)
+    met = []
+    kept = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda near, docs, t: (met.append(near.count()), kept(near, docs, t))[1])
+    rows = [(k, f"w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 x{k}") for k in range(90)]
+    got = {r["doc_id"]: r["removed"] for r in lines.repeated_lines(frame(spark, rows)).collect()}
+    assert got == {k: k > 0 for k in range(90)} and sum(met) <= 3 * len(rows)
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 

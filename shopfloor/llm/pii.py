@@ -5,9 +5,9 @@ recall generators propose further spans, which may overlap; those that touch no
 classifier scores each of them by the format of its text and by the text around it. Its positive examples are base spans and
 known keys rewritten in the formats that only the generators find (``REWRITTEN``), known keys, and passwords after their name;
 the negative ones are candidates, found or made from base spans (``BROKEN``), that fail the check of their generator
-(``failed``). A candidate that is neither is scored, but teaches nothing. The classifier is fitted on at most ``SAMPLE``
-examples, the same number for each generator and label, those with the least hashes; a fifth of them is left out and sets, for
-each generator, the lowest threshold with the ``PRECISION`` wanted. Of accepted candidates that overlap the one with the highest
+(``failed``). A candidate that is neither is scored, but teaches nothing. All examples count: a hash puts four fifths of them
+into the fit, and the other fifth sets, for each generator, the lowest threshold with the ``PRECISION`` wanted. Where a generator
+has many examples of a label, they weigh as much as ``BALANCE`` of them together, so that no kind drowns the others. Of accepted candidates that overlap the one with the highest
 score is added, then the first, then the longest.
 
 Only DataFrame functions and Spark's own classifier are used. Offsets are code points, ends exclusive; null text counts as
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import fresh, let, require
 
-#: Most examples the classifier is fitted on.
-SAMPLE = 20_000
+#: Most weight of all examples of one generator and label together; each weighs one where they are no more.
+BALANCE = 2_000
 TREES, LEAVES_DEPTH, PRECISION = 10, 3, 0.99
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
@@ -190,20 +190,19 @@ def _wrong_digit(value: Column) -> Column:
 
 
 def examples(proposed: DataFrame, bases: DataFrame) -> DataFrame:
-    """Labelled candidates (generator, value, before, after, confirmed, _order): at most ``SAMPLE``, the same number for each generator and label."""
-    each = SAMPLE // (2 * len(GENERATORS))
+    """All labelled candidates (generator, value, before, after, confirmed, _order, weight)."""
     columns = ["generator", "value", "before", "after"]
     key = F.col("value").rlike(CONFIRMED)
     label = F.when(key | F.col("value").rlike(NAMED), True).when(failed(*[F.col(c) for c in columns]), False)
     known = proposed.select(*columns, label.alias("confirmed")).where("confirmed IS NOT NULL").distinct()
     known = materialize(known.withColumn("_order", F.xxhash64("value", "before", "after")), "pii-known")
     bases = materialize(bases.select("kind", "value", "before", "after").distinct().withColumn("_order", F.xxhash64("value", "before", "after")), "pii-bases")
-    least = lambda df: df.orderBy("_order").limit(each)
-    spans = [least(bases.where(F.col("kind") == k)) for k, kind in enumerate(KINDS) if kind in ("email", "card", "phone")]
-    keys = least(known.where((F.col("generator") == 3) & key)).select(F.lit(KINDS.index("secret")).alias("kind"), "value", "before", "after", "_order")
-    made = rewritten(reduce(DataFrame.union, [*spans, keys]).drop("_order")).select(*known.columns)
+    spans = bases.where(F.col("kind").isin([KINDS.index(k) for k in ("email", "card", "phone")]))
+    keys = known.where((F.col("generator") == 3) & key).select(F.lit(KINDS.index("secret")).alias("kind"), "value", "before", "after", "_order")
+    made = rewritten(spans.union(keys).drop("_order")).select(*known.columns)
     labelled = materialize(known.union(made), "pii-labelled")
-    return reduce(DataFrame.union, [least(labelled.where((F.col("generator") == k) & (F.col("confirmed") == good))) for k in range(len(GENERATORS)) for good in (True, False)])
+    weights = labelled.groupBy("generator", "confirmed").agg(F.least(F.lit(1.0), F.lit(float(BALANCE)) / F.count(F.lit(1))).alias("weight"))
+    return labelled.join(F.broadcast(weights), ["generator", "confirmed"]).select(*labelled.columns, "weight")
 
 
 def accepted(proposed: DataFrame, bases: DataFrame) -> DataFrame:
@@ -213,19 +212,19 @@ def accepted(proposed: DataFrame, bases: DataFrame) -> DataFrame:
     code = lambda df: df.withColumns({f"f_{name}": c for name, c in features.items()})
     coded = code(proposed)
     vectors = VectorAssembler(inputCols=[f"f_{name}" for name in features], outputCol="features")
-    sample = code(examples(proposed, bases))
-    sample = vectors.transform(sample.select("generator", "_order", F.col("confirmed").cast("double").alias("label"), *[f"f_{n}" for n in features])).select("generator", "_order", "label", "features")
-    sample = materialize(sample, "pii-sample").coalesce(1)
+    taught = code(examples(proposed, bases))
+    taught = vectors.transform(taught.select("generator", "_order", "weight", F.col("confirmed").cast("double").alias("label"), *[f"f_{n}" for n in features])).select("generator", "_order", "weight", "label", "features")
+    taught = materialize(taught, "pii-examples")
     held_out = F.pmod(F.col("_order"), F.lit(5)) == 0
-    classes = {r["label"] for r in sample.where(~held_out).select("label").distinct().collect()}
+    classes = {r["label"] for r in taught.where(~held_out).select("label").distinct().collect()}
     if len(classes) < 2:
         return none
-    model = GBTClassifier(maxIter=TREES, maxDepth=LEAVES_DEPTH, stepSize=0.3, seed=6, maxBins=32).fit(sample.where(~held_out).select("features", "label"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=LEAVES_DEPTH, stepSize=0.3, seed=6, maxBins=32, weightCol="weight").fit(taught.where(~held_out).select("features", "label", "weight"))
 
     def score(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("score", F.round(vector_to_array("probability")[1], 3)).drop("rawPrediction", "probability", "prediction")
 
-    curve = score(sample.where(held_out)).groupBy("generator", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).collect()
+    curve = score(taught.where(held_out)).groupBy("generator", "score").agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("good")).collect()
     least: dict[int, float] = {}
     for k in range(len(GENERATORS)):
         n = good = 0

@@ -471,6 +471,15 @@ def test_every_generator_adds_spans(spark):
     assert sum(got[d] != "" for d in wrong) <= 0.02 * len(wrong)
 
 
+def test_the_classifier_learns_from_all_examples(spark):
+    """More candidates than the old sample held: all of them are examples, and a label of many weighs as ``BALANCE`` of them."""
+    words = spark.range(5_000).select(F.lit(3).alias("generator"), F.concat(F.lit("plain-"), F.lpad(F.col("id").cast("string"), 12, "0"), F.lit("-words")).alias("value"), F.lit("").alias("before"), F.lit("").alias("after"))
+    mails = spark.range(3_000).select(F.lit(0).alias("kind"), F.concat(F.lit("name"), F.col("id").cast("string"), F.lit("@example.org")).alias("value"), F.lit("mail ").alias("before"), F.lit(" end").alias("after"))
+    got = {(r["generator"], r["confirmed"]): (r["n"], r["w"]) for r in pii.examples(words, mails).groupBy("generator", "confirmed").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
+    assert got[3, False][0] == 5_000 and got[0, True][0] >= 3 * 3_000
+    assert got[3, False][1] == pytest.approx(pii.BALANCE) and got[0, True][1] == pytest.approx(pii.BALANCE)
+
+
 # --- bytes -------------------------------------------------------------------------------------------------------------
 
 

@@ -1,21 +1,27 @@
 r"""Line dedup by an exact set-similarity join.
 
 A line is the set of its words. Lines with equal sets form a class that stands in one row from then on; its first line, by
-document and place, is the class's own place. Words are ordered by rarity, then by their hash. Rarity comes from the words of
-all documents, whose counts are kept in hash buckets; any order gives the same result. Two sets of Jaccard similarity t share a
-word among their first n - ceil(t n) + 1 words, so
-
-1. classes meet on words of these prefixes, if their lengths and the places of the common word allow the overlap needed, and
-   if parity maps of their words, of 128 bits, differ in no more bits than the sets may differ in words,
-2. the lines of the pairs left are read again and compared word by word, as 64-bit hashes.
+document and place, is the class's own place. Two sets of n and m words of Jaccard similarity t differ in d <= n (1 - t) / t
+words. Single words are shared by more and more lines as the table grows, so classes meet on groups of words:
+
+1. The words are dealt by hash to a number of parts that depends on the level of the set's size, a doubling of it each, and
+   what a set has in a part is one mark. A word in which two sets differ changes one mark, so all but d marks of either are the
+   other's, too, and by the prefix principle the first d + 1 marks of both, in any order common to all, share one. Marks that few
+   lines can be expected to have come first: the rarities of their words are added up. Rarity comes from the words of all
+   documents, whose counts are kept in hash buckets; any order gives the same result. A set also stands in the levels of smaller
+   sets it may match, and one with no more than d marks in a level (there, it may share none) with the words of its prefix, the
+   first n - ceil(t n) + 1.
+2. Classes that share a mark are held against each other if their lengths allow the similarity and parity maps of their words,
+   of 128 bits, differ in no more bits than the sets may differ in words.
+3. The lines of the pairs left are read again and compared word by word, as 64-bit hashes.
 
 A class whose first line comes after the first line of a class it matches is gone. Since one earlier match is enough, classes
-meet in two rounds, the same for every word. In the first one the classes under a word are dealt to ``MANY`` shares by their hash,
-and each meets the first class of the word and that of its share: work in proportion to the prefixes, after which few of a large
-group of near copies are left. In the second one those left meet each other and every earlier class that is gone; two that are
-gone do not meet. Both go over the words in ``PASSES`` parts, one after the other, so that the disk holds the prefixes of one part
-at a time. A line is removed if it is not the first of its class or its class is gone: it has an equal or similar line before it
-in the table.
+meet in two rounds, the same for every mark. In the first one the classes under a mark are dealt to ``MANY`` shares by their hash;
+each class is held against the earliest of the first classes of its marks and the earliest of the first ones of its shares: two pairs
+a class, after which few of a large group of near copies are left. In the second one those left meet each other and every earlier
+class that is gone; two that are gone do not meet. Marks of one class alone, most of them, are left out first, in ``PASSES`` parts
+of the marks, one after the other, so that the disk holds all marks of one part at a time. A line is removed if it is not the first
+of its class or its class is gone: it has an equal or similar line before it in the table.
 
 Only DataFrame functions are used. Lines without words, and all lines of a null text, are kept. Rows of one id and one text are
 one document; rows of one id with other texts are documents of their own, ordered by the hash of their text. A null id comes first. A document that has lost all its words is left out of ``without_lines``.
@@ -29,15 +35,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, require, written
+from .common import SPACE, fresh, let, require, written
 
 SIMILARITY = 0.8
 #: Buckets of word counts: an array of so many bytes is sent to all tasks.
 BUCKETS = 1 << 18
-#: Shares of the classes with a word in their prefixes; those of a share are first held against the first of them.
+#: Shares of the classes with a mark; those of a share are first held against the first of them.
 MANY = 100
-#: Parts of the words that classes meet on.
+#: Parts of the marks that classes meet on.
 PASSES = 4
+#: Parts that words are dealt to, as a multiple of the words in which the largest sets of a level may differ.
+SPREAD = 1.6
 #: Words of 64 bits in the map of lines to read again, a table of fixed size.
 MAP_WORDS = 1 << 18
 
@@ -73,22 +81,49 @@ def needed(n: Column, similarity: float) -> Column:
     return F.ceil(n * F.lit(similarity) - 1e-9).cast("int")
 
 
+def _level(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double")) + 1e-9).cast("int")
+
+
+def _marks(codes: Column, size: Column, level: Column, top: Column, similarity: float) -> Column:
+    """The first marks of a set in a level, in their order, of which 32 bits of the hash are kept."""
+    share = (1 - similarity) / similarity
+    most = F.floor(size * F.lit(share) + 1e-6).cast("int") + 1
+    parts = F.least(F.greatest(F.ceil(F.lit(SPREAD * share) * F.pow(F.lit(2.0), level + 1)), F.lit(2)), F.lit(1 << 19)).cast("long")
+    # 19 bits of the part, seven of rarity, 37 of the hash.
+    dealt = lambda k: F.sort_array(F.transform(codes, lambda c: F.shiftleft(c % k, 44).bitwiseOR(F.shiftrightunsigned(c, 19))))
+    at = lambda e: F.shiftright(e, 44)
+    starts = lambda s: F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (at(F.get(s, i)) != at(F.get(s, i - 1))))
+    rare = lambda g: F.aggregate(g, F.lit(0), lambda x, e: x + top - F.shiftright(e, 37).bitwiseAND(F.lit(127).cast("long")).cast("int"))
+    # Eleven bits of the rarities' sum, rarest first, then 52 of the group's hash.
+    mark = lambda g: F.shiftleft(F.greatest(F.lit(2047) - rare(g), F.lit(0)).cast("long"), 52).bitwiseOR(F.shiftrightunsigned(F.xxhash64(level, g), 12))
+    groups = lambda s, b: F.zip_with(b, F.slice(b, F.lit(2), F.size(b)), lambda x, y: let(F.slice(s, x + 1, F.coalesce(y, size) - x), mark))
+    marks = let(let(parts, dealt), lambda s: let(starts(s), lambda b: groups(s, b)))
+    words = F.transform(F.slice(codes, F.lit(1), size - needed(size, similarity) + 1), lambda c: F.xxhash64(F.lit(-1), level, c))
+    first = let(marks, lambda m: F.when(F.size(m) < most, F.concat(m, words)).otherwise(F.slice(F.sort_array(m), F.lit(1), most)))
+    return F.transform(first, lambda m: (m.bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int"))
+
+
 def line_sets(docs: DataFrame, levels: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, row, place, k1, k2, n, fine, coarse, prefix) of every line with words.
+    """(doc_id, row, place, k1, k2, n, fine, coarse, marks) of every line with words.
 
-    ``prefix`` holds word codes, rare words first. It is empty for sets that match equal sets only: those that need all their
-    words in a match and find no larger set that would do. ``k1`` and ``k2`` are equal for equal sets. ``coarse`` is the parity of
-    the words in each of 64 classes, ``fine`` that of the words with a seventh bit, so that both make a map of 128 classes.
+    ``marks`` is empty for sets that match equal sets only: those that need all their words in a match and find no larger set that
+    would do. ``k1`` and ``k2`` are equal for equal sets. ``coarse`` is the parity of the words in each of 64 classes, ``fine`` that
+    of the words with a seventh bit, so that both make a map of 128 classes.
     """
     # Seven bits of rarity, then 56 bits of the hash.
     code = lambda h: F.shiftleft(F.get(F.col("levels"), bucket(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     # A test of the line itself: one of its words would be pushed down and split the line twice.
     full = lines_of(docs).where(F.length(F.trim("line", F.lit(" \t\n\x0b\f\r"))) > 0)
     hashed = full.select("doc_id", "row", "place", F.transform(spaced_words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
-    coded = hashed.withColumn("levels", levels.scalar()).select("doc_id", "row", "place", F.sort_array(F.array_distinct(F.transform("hashes", code))).alias("codes"))
+    # The most frequent words count for two bits of rarity.
+    top = levels.select(F.array_max("levels").cast("int") + 8).scalar()
+    coded = hashed.withColumn("levels", levels.scalar()).select(
+        "doc_id", "row", "place", F.sort_array(F.array_distinct(F.transform("hashes", code))).alias("codes"), top.alias("top"))
     size = F.size("codes")
     alone = (needed(size, similarity) >= size) & (needed(size + 1, similarity) > size)
-    short = F.when(alone, F.array().cast("array<long>")).otherwise(F.slice("codes", 1, size - needed(size, similarity) + 1))
+    stands = F.sequence(_level(needed(size, similarity)), _level(size))
+    marks = F.flatten(F.transform(stands, lambda level: _marks(F.col("codes"), F.size("codes"), level, F.col("top"), similarity)))
     low = lambda c: c.bitwiseAND(F.lit(63).cast("long")).cast("int")
     seventh = lambda c: F.call_function("shiftright", c, F.lit(6)).bitwiseAND(F.lit(1).cast("long"))
     zero = F.lit(0).cast("long")
@@ -96,7 +131,7 @@ def line_sets(docs: DataFrame, levels: DataFrame, similarity: float) -> DataFram
         "doc_id", "row", "place", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(2), "codes").alias("k2"), size.alias("n"),
         F.aggregate("codes", zero, lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), low(c)))).alias("coarse"),
         F.aggregate("codes", zero, lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", seventh(c), low(c)))).alias("fine"),
-        F.transform(short, lambda c: c.bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int")).alias("prefix"),
+        F.when(alone, F.array().cast("array<int>")).otherwise(marks).alias("marks"),
     )
 
 
@@ -106,28 +141,23 @@ def _both(n: Column, m: Column, similarity: float) -> Column:
 
 
 def may_match(similarity: float) -> Column:
-    """Length, place and map filters for rows a and b (size: words and place in the prefix, coarse, fine) that share a word."""
-    n, m, at, to = (part(F.col(f"{side}.size")) for part in (_words, _at) for side in "ab")
+    """Length and map filters for rows a and b (n, coarse, fine) that share a mark."""
+    n, m = F.col("a.n"), F.col("b.n")
     both = _both(n, m, similarity)
     coarse, fine = (F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in ("coarse", "fine"))
-    may = (F.least(n, m) >= needed(F.greatest(n, m), similarity)) & (F.least(n - at, m - to) >= both) & (F.bit_count(coarse) <= n + m - 2 * both)
+    may = (F.least(n, m) >= needed(F.greatest(n, m), similarity)) & (F.bit_count(coarse) <= n + m - 2 * both)
     # Bits in which the maps of 128 classes differ, from the differences of both parts.
     return may & (F.bit_count(fine) + F.bit_count(coarse.bitwiseXOR(fine)) <= n + m - 2 * both)
 
 
-def _words(size: Column) -> Column:
-    return F.shiftrightunsigned(size, 32).cast("int")
-
-
-def _at(size: Column) -> Column:
-    return F.pmod(size, F.lit(2**31)).cast("int")
-
-
-def _postings(classes: DataFrame, part: int) -> DataFrame:
-    """(word, id, size, coarse, fine, doc) of the words of the prefixes that belong to a part."""
-    spread = classes.select("id", "n", "coarse", "fine", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("at", "word"))
-    size = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("size")
-    return spread.where(F.pmod("word", F.lit(PASSES)) == part).select("word", "id", size, "coarse", "fine", "doc")
+def _shared(classes: DataFrame) -> DataFrame:
+    """(id, mark) of the marks that more than one class has."""
+    found = []
+    for part in range(PASSES):
+        spread = classes.select("id", F.explode("marks").alias("mark")).where(F.pmod("mark", F.lit(PASSES)) == part)
+        counted = spread.select("id", "mark", F.count(F.lit(1)).over(Window.partitionBy("mark")).alias("classes"))
+        found.append(written(counted.where("classes > 1").select("id", "mark"), "line-marks"))
+    return reduce(DataFrame.union, found)
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -163,30 +193,26 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     levels = written(rarity(docs), "line-rarity")
     sets = written(line_sets(docs, levels, similarity), "line-sets")
     order = F.struct("doc_id", "row", "place")
-    carried = ["n", "fine", "coarse", "prefix"]
+    carried = ["n", "fine", "coarse", "marks"]
     classes = sets.groupBy("k1", "k2").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in carried])
     classes = written(classes.withColumnRenamed("k1", "id"), "line-classes")
+    shared = _shared(classes).join(classes.select("id", F.col("first.doc_id").alias("doc"), "n", "coarse", "fine"), "id")
 
-    pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
-    head = F.min(F.struct("doc", "id", "size", "coarse", "fine"))
-    heads = F.array(head.over(Window.partitionBy("word")), head.over(Window.partitionBy("word", F.pmod("id", F.lit(MANY)))))
-    pairs = []
-    for part in range(PASSES):
-        headed = _postings(classes, part).select(F.struct("id", "size", "coarse", "fine").alias("a"), heads.alias("heads"))
-        starred = headed.select("a", F.explode("heads").alias("b")).where("a.id <> b.id").where(may_match(similarity))
-        pairs.append(written(starred.select(*pair).distinct(), "line-met"))
-    near = _near(reduce(DataFrame.union, pairs).distinct(), classes)
-    gone = written(_verified(near, docs, similarity), "line-gone")
+    head = F.min(F.struct("doc", "id", "n", "coarse", "fine"))
+    heads = [head.over(Window.partitionBy("mark")).alias("h0"), head.over(Window.partitionBy("mark", F.pmod("id", F.lit(MANY)))).alias("h1")]
+    headed = shared.select(F.struct("id", "n", "coarse", "fine").alias("a"), *heads)
+    starred = headed.select("a", F.posexplode(F.array("h0", "h1")).alias("of", "b")).where("a.id <> b.id").where(may_match(similarity))
+    nearest = starred.groupBy(F.col("a.id").alias("id"), "of").agg(F.min(F.struct("b.doc", "b.id")).alias("b"))
+    met = nearest.select(F.least("id", "b.id").alias("a"), F.greatest("id", "b.id").alias("b")).distinct()
+    gone = written(_verified(_near(met, classes), docs, similarity), "line-gone")
 
     # Of one document either class may be the later one; ``_near`` puts it first.
-    earlier = F.expr("a.word = b.word AND (b.doc IS NULL OR b.doc <= a.doc)")
-    pairs = []
-    for part in range(PASSES):
-        left, past = (_postings(classes.join(gone, "id", how), part) for how in ("left_anti", "left_semi"))
-        met = left.alias("a").join(left.alias("b"), F.expr("a.word = b.word AND a.id < b.id")).where(may_match(similarity))
-        more = left.alias("a").join(past.alias("b"), earlier).where(may_match(similarity))
-        pairs.append(written(met.select(*pair).union(more.select(*pair)).distinct(), "line-met"))
-    near = _near(reduce(DataFrame.union, pairs).distinct(), classes)
+    marked = shared.join(gone.withColumn("gone", F.lit(True)), "id", "left").na.fill(False, ["gone"])
+    left = marked.where("NOT gone")
+    meet = F.expr("a.mark = b.mark AND (b.gone AND (b.doc IS NULL OR b.doc <= a.doc) OR NOT b.gone AND a.id < b.id)")
+    met = left.alias("a").join(marked.alias("b"), meet).where(may_match(similarity))
+    met = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    near = _near(met, classes)
     # A class known to be gone needs no other match.
     rest = _verified(near.join(gone, "id", "left_anti"), docs, similarity)
     gone = written(gone.union(rest).distinct().select("id", F.lit(True).alias("gone")), "line-gone")

@@ -393,6 +393,17 @@ def test_a_group_of_near_copies_meets_its_first_lines_only(spark, monkeypatch):
     assert got == {k: k > 0 for k in range(90)} and sum(met) <= 3 * len(rows)
 
 
+def test_lines_of_frequent_words_share_few_marks(spark):
+    """Lines without a rare word share words of their prefixes with many others, but marks of several words with few; near copies share one."""
+    rng = random.Random(5)
+    sets = [rng.sample([f"w{i}" for i in range(400)], 24) for _ in range(300)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(sets)] + [(1000 + k, " ".join([*w[1:], f"other{k}"])) for k, w in enumerate(sets)]
+    docs = frame(spark, rows)
+    marks = {r["doc_id"]: set(r["marks"]) for r in lines.line_sets(docs, lines.rarity(docs), 0.8).collect()}
+    assert all(marks[k] & marks[1000 + k] for k in range(300))
+    assert sum(bool(marks[a] & marks[b]) for b in range(300) for a in range(b)) <= 0.03 * 300 * 299 / 2
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 

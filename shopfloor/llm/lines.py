@@ -19,7 +19,7 @@ A class whose first line comes after the first line of a class it matches is gon
 meet in two rounds, the same for every mark. In the first one the classes under a mark are dealt to ``MANY`` shares by their hash;
 each class is held against the earliest of the first classes of its marks and the earliest of the first ones of its shares: two pairs
 a class, after which few of a large group of near copies are left. In the second one those left meet each other and every earlier
-class that is gone; two that are gone do not meet. Marks of one class alone, most of them, are left out first. All steps on marks
+class that is gone, each pair once, under the least mark of both; two that are gone do not meet. Marks of one class alone, most of them, are left out first. All steps on marks
 go over them in ``PASSES`` parts, one after the other, so that the disk holds the shuffles of one part at a time. A line is removed if it is not the first
 of its class or its class is gone: it has an equal or similar line before it in the table.
 
@@ -197,28 +197,28 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     classes = sets.groupBy("k1", "k2").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in carried])
     classes = written(classes.withColumnRenamed("k1", "id"), "line-classes")
     shared = _shared(classes)
-    known = classes.select("id", F.col("first.doc_id").alias("doc"), "n", "coarse", "fine")
+    known = classes.select("id", F.col("first.doc_id").alias("doc"), "n", "coarse", "fine", "marks")
 
     head = F.min(F.struct("doc", "id", "n", "coarse", "fine"))
     heads = [head.over(Window.partitionBy("mark")).alias("h0"), head.over(Window.partitionBy("mark", F.pmod("id", F.lit(MANY)))).alias("h1")]
     nearest = []
     for part in shared:
-        headed = part.join(known, "id").select(F.struct("id", "n", "coarse", "fine").alias("a"), *heads)
+        headed = part.join(known.drop("marks"), "id").select(F.struct("id", "n", "coarse", "fine").alias("a"), *heads)
         starred = headed.select("a", F.posexplode(F.array("h0", "h1")).alias("of", "b")).where("a.id <> b.id").where(may_match(similarity))
         nearest.append(written(starred.groupBy(F.col("a.id").alias("id"), "of").agg(F.min(F.struct("b.doc", "b.id")).alias("b")), "line-met"))
     best = reduce(DataFrame.union, nearest).groupBy("id", "of").agg(F.min("b").alias("b"))
     met = best.select(F.least("id", "b.id").alias("a"), F.greatest("id", "b.id").alias("b")).distinct()
     gone = written(_verified(_near(met, classes), docs, similarity), "line-gone")
 
-    # Of one document either class may be the later one; ``_near`` puts it first.
+    # Of one document either class may be the later one; ``_near`` puts it first. A pair comes out under the least of the marks it shares.
     meet = F.expr("a.mark = b.mark AND (b.gone AND (b.doc IS NULL OR b.doc <= a.doc) OR NOT b.gone AND a.id < b.id)")
+    least = F.array_min(F.array_intersect("a.marks", "b.marks")) == F.col("a.mark")
     pairs = []
     for part in shared:
         marked = part.join(known, "id").join(gone.withColumn("gone", F.lit(True)), "id", "left").na.fill(False, ["gone"])
-        met = marked.where("NOT gone").alias("a").join(marked.alias("b"), meet).where(may_match(similarity))
-        pairs.append(written(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "line-met"))
-    met = reduce(DataFrame.union, pairs).distinct()
-    near = _near(met, classes)
+        met = marked.where("NOT gone").alias("a").join(marked.alias("b"), meet & may_match(similarity) & least)
+        pairs.append(written(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")), "line-met"))
+    near = _near(reduce(DataFrame.union, pairs), classes)
     # A class known to be gone needs no other match.
     rest = _verified(near.join(gone, "id", "left_anti"), docs, similarity)
     gone = written(gone.union(rest).distinct().select("id", F.lit(True).alias("gone")), "line-gone")

@@ -393,6 +393,19 @@ def test_a_group_of_near_copies_meets_its_first_lines_only(spark, monkeypatch):
     assert got == {k: k > 0 for k in range(90)} and sum(met) <= 3 * len(rows)
 
 
+def test_a_pair_of_lines_comes_out_under_one_of_its_marks(spark, monkeypatch):
+    """Lines just too far from a group of near copies meet its lines once, however many marks they share."""
+    met = []
+    kept = lines.written
+    monkeypatch.setattr(lines, "written", lambda df, label: (out := kept(df, label), met.extend((r["a"], r["b"]) for r in out.collect()) if label == "line-met" and out.columns == ["a", "b"] else None)[0])
+    other = lambda new: " ".join(new.get(i, f"w{i}") for i in range(20))
+    rows = [(k, other({k % 10: f"x{k}"})) for k in range(60)]
+    rows += [(100 + 10 * i + j, other({10 + i: f"y{i}{j}", 10 + j: f"z{i}{j}"})) for j in range(10) for i in range(j)]
+    got = {(r["doc_id"], r["place"]): r["removed"] for r in lines.repeated_lines(frame(spark, rows)).collect()}
+    assert got == lines_plain(rows) and sum(got.values()) == 59
+    assert len(met) > 100 and len(set(met)) == len(met)
+
+
 def test_lines_of_frequent_words_share_few_marks(spark):
     """Lines without a rare word share words of their prefixes with many others, but marks of several words with few; near copies share one."""
     rng = random.Random(5)

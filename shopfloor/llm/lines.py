@@ -197,13 +197,13 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     classes = sets.groupBy("k1", "k2").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in carried])
     classes = written(classes.withColumnRenamed("k1", "id"), "line-classes")
     shared = _shared(classes)
-    known = classes.select("id", F.col("first.doc_id").alias("doc"), "n", "coarse", "fine", "marks")
+    known = classes.select("id", F.col("first.doc_id").alias("doc"), "n", "coarse", "fine")
 
     head = F.min(F.struct("doc", "id", "n", "coarse", "fine"))
     heads = [head.over(Window.partitionBy("mark")).alias("h0"), head.over(Window.partitionBy("mark", F.pmod("id", F.lit(MANY)))).alias("h1")]
     nearest = []
     for part in shared:
-        headed = part.join(known.drop("marks"), "id").select(F.struct("id", "n", "coarse", "fine").alias("a"), *heads)
+        headed = part.join(known, "id").select(F.struct("id", "n", "coarse", "fine").alias("a"), *heads)
         starred = headed.select("a", F.posexplode(F.array("h0", "h1")).alias("of", "b")).where("a.id <> b.id").where(may_match(similarity))
         nearest.append(written(starred.groupBy(F.col("a.id").alias("id"), "of").agg(F.min(F.struct("b.doc", "b.id")).alias("b")), "line-met"))
     best = reduce(DataFrame.union, nearest).groupBy("id", "of").agg(F.min("b").alias("b"))
@@ -213,9 +213,12 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     # Of one document either class may be the later one; ``_near`` puts it first. A pair comes out under the least of the marks it shares.
     meet = F.expr("a.mark = b.mark AND (b.gone AND (b.doc IS NULL OR b.doc <= a.doc) OR NOT b.gone AND a.id < b.id)")
     least = F.array_min(F.array_intersect("a.marks", "b.marks")) == F.col("a.mark")
+    held = reduce(DataFrame.union, shared).groupBy("id").agg(F.collect_set("mark").alias("marks"))
+    held = held.join(known, "id").join(gone.withColumn("gone", F.lit(True)), "id", "left").na.fill(False, ["gone"])
+    held = written(held, "line-held")
     pairs = []
-    for part in shared:
-        marked = part.join(known, "id").join(gone.withColumn("gone", F.lit(True)), "id", "left").na.fill(False, ["gone"])
+    for part in range(PASSES):
+        marked = held.withColumn("mark", F.explode("marks")).where(F.pmod("mark", F.lit(PASSES)) == part)
         met = marked.where("NOT gone").alias("a").join(marked.alias("b"), meet & may_match(similarity) & least)
         pairs.append(written(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")), "line-met"))
     near = _near(reduce(DataFrame.union, pairs), classes)

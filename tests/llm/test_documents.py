@@ -417,6 +417,19 @@ def test_lines_of_frequent_words_share_few_marks(spark):
     assert sum(bool(marks[a] & marks[b]) for b in range(300) for a in range(b)) <= 0.03 * 300 * 299 / 2
 
 
+def test_words_are_not_counted_and_small_groups_meet_in_one_round(spark, monkeypatch):
+    """Near copies in small groups need no first round and no counts of words; counts given by the caller change no result."""
+    rows = [(k, f"{' '.join(f'g{k // 3}w{i}' for i in range(12))} own{k}\n" + " ".join(f"u{k}v{i}" for i in range(8))) for k in range(60)]
+    docs, want = frame(spark, rows), lines_plain(rows)
+    levels = lines.rarity(docs)
+    assert {(r["doc_id"], r["place"]): r["removed"] for r in lines.repeated_lines(docs, levels=levels).collect()} == want
+    rounds, kept = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda near, docs, t: (rounds.append(near.count()), kept(near, docs, t))[1])
+    monkeypatch.setattr(lines, "rarity", None)
+    got = {(r["doc_id"], r["place"]): r["removed"] for r in lines.repeated_lines(docs).collect()}
+    assert got == want and sum(got.values()) == 40 and rounds == [0, 60]
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 

@@ -20,8 +20,8 @@ meet in two rounds. The first one is for marks of more than ``FEW`` classes. Tho
 each class is held against the earliest of the first classes of its marks and the earliest of the first ones of its shares: two pairs
 a class, after which few of a large group of near copies are left. In the second one those left meet each other and every earlier
 class that is gone, each pair once; two that are gone do not meet. Two classes alone under a mark are a pair as they stand, the others
-are joined by mark and come out under the least mark of both. Marks of one class alone, most of them, are left out first; they are counted
-in ``PASSES`` parts, one after the other, so that the disk holds the shuffle of one part at a time. A line is removed if it is not the first
+are joined by mark and come out under the least mark of both. Marks of one class alone, most of them, are left out first. Counts and joins go
+over the marks in ``PASSES`` parts, one after the other, so that the disk holds the shuffle of one part at a time. A line is removed if it is not the first
 of its class or its class is gone: it has an equal or similar line before it in the table.
 
 Only DataFrame functions are used. Lines without words, and all lines of a null text, are kept. Rows of one id and one text are
@@ -45,8 +45,8 @@ BUCKETS = 1 << 18
 FEW = 16
 #: Shares of the classes with a mark; those of a share are first held against the first of them.
 MANY = 100
-#: Parts of the marks that are counted one after the other.
-PASSES = 2
+#: Parts of the marks, one after the other.
+PASSES = 4
 #: Parts that words are dealt to, as a multiple of the words in which the largest sets of a level may differ.
 SPREAD = 1.3
 #: Bits of a word's code for its rarity and the sums of them.
@@ -94,7 +94,7 @@ def _level(n: Column) -> Column:
 
 
 def _marks(codes: Column, size: Column, level: Column, similarity: float) -> Column:
-    """The first marks of a set in a level, in their order, of which 49 bits of the hash are kept."""
+    """The first marks of a set in a level, in their order, of which 32 bits of the hash are kept."""
     share = (1 - similarity) / similarity
     above = F.pow(F.lit(2.0), level + 1) - 1
     # In a level below its own a set meets smaller ones only.
@@ -113,7 +113,7 @@ def _marks(codes: Column, size: Column, level: Column, similarity: float) -> Col
     rarest = F.sort_array(F.transform(codes, lambda c: F.shiftleft(F.lit(RARITY).cast("long") - c.bitwiseAND(F.lit(RARITY).cast("long")), 49).bitwiseOR(F.shiftrightunsigned(c, 15))))
     words = F.transform(F.slice(rarest, F.lit(1), size - needed(size, similarity) + 1), lambda c: F.xxhash64(F.lit(-1), level, c))
     first = let(marks, lambda m: F.when(F.size(m) < most, F.concat(m, words)).otherwise(F.slice(F.sort_array(m), F.lit(1), most)))
-    return F.transform(first, lambda m: m.bitwiseAND(F.lit(2**49 - 1)))
+    return F.transform(first, lambda m: (m.bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)).cast("int"))
 
 
 def line_sets(docs: DataFrame, levels: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
@@ -144,7 +144,7 @@ def line_sets(docs: DataFrame, levels: DataFrame | None = None, similarity: floa
     return coded.select(
         "doc_id", "row", "place", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(2), "codes").alias("k2"), size.alias("n"),
         parity(F.slice("codes", F.lit(1), below)).alias("coarse"), parity(F.slice("codes", below + 1, size - below)).alias("fine"),
-        F.when(alone, F.array().cast("array<bigint>")).otherwise(marks).alias("marks"),
+        F.when(alone, F.array().cast("array<int>")).otherwise(marks).alias("marks"),
     )
 
 
@@ -162,13 +162,13 @@ def may_match(similarity: float) -> Column:
 
 
 def _shared(classes: DataFrame) -> DataFrame:
-    """(id, mark, classes, other) of the marks that more than one class has, with their number and the largest id of them."""
+    """(id, mark, classes, other) of the marks that more than one class has, with their number and the largest id of them; of two one row."""
     under = Window.partitionBy("mark")
     found = []
     for part in range(PASSES):
         spread = classes.select("id", F.explode("marks").alias("mark")).where(F.pmod("mark", F.lit(PASSES)) == part)
         counted = spread.select("id", "mark", F.count(F.lit(1)).over(under).alias("classes"), F.max("id").over(under).alias("other"))
-        found.append(written(counted.where("classes > 1"), "line-marks"))
+        found.append(written(counted.where("classes > 2 OR classes = 2 AND id <> other"), "line-marks"))
     return reduce(DataFrame.union, found)
 
 
@@ -217,18 +217,21 @@ def _second_round(shared: DataFrame, known: DataFrame, gone: DataFrame, similari
     """Pairs (a, b) of classes that share a mark, each pair once, but for those of which the later one is known to be gone."""
     known = known.join(gone.withColumn("gone", F.lit(True)), "id", "left").na.fill(False, ["gone"])
     end = lambda x: F.struct(F.col(f"{x}.first"), F.col(f"{x}.id")).alias(x)
-    twos = shared.where("classes = 2 AND id <> other").select(F.col("id").alias("one"), "other").distinct()
+    twos = shared.where("classes = 2").select(F.col("id").alias("one"), "other").distinct()
     twos = twos.join(known.alias("a"), F.col("a.id") == F.col("one")).join(known.alias("b"), F.col("b.id") == F.col("other"))
     twos = twos.where("NOT IF(a.first > b.first, a.gone, b.gone)").where(may_match(similarity)).select(end("a"), end("b"))
+    pairs = [written(twos, "line-pairs")]
 
     # A pair under marks of more classes comes out under the least of those it shares.
     held = shared.where("classes > 2").groupBy("id").agg(F.collect_set("mark").alias("marks")).join(known, "id")
     held = written(held, "line-held")
-    marked = held.withColumn("mark", F.explode("marks"))
     meet = F.expr("a.mark = b.mark AND (b.gone AND b.first < a.first OR NOT b.gone AND a.id < b.id)")
     least = F.array_min(F.array_intersect("a.marks", "b.marks")) == F.col("a.mark")
-    met = marked.where("NOT gone").alias("a").join(marked.alias("b"), meet & may_match(similarity) & least)
-    return twos.union(met.select(end("a"), end("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for part in range(PASSES):
+        marked = held.withColumn("mark", F.explode("marks")).where(F.pmod("mark", F.lit(PASSES)) == part)
+        met = marked.where("NOT gone").alias("a").join(marked.alias("b"), meet & may_match(similarity) & least)
+        pairs.append(written(met.select(end("a"), end("b")), "line-pairs"))
+    return reduce(DataFrame.union, pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verdicts(docs: DataFrame, similarity: float, levels: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,10 @@
 """Encoder arithmetic and model jobs."""
 
+import tracemalloc
+
 import numpy as np
+import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from shopfloor.operators import models as M
@@ -35,6 +39,38 @@ def test_encoder_matches_plain_loops(spark):
         np.testing.assert_allclose(r["memory"], slow_state(w, weights), atol=1e-5)
 
 
+def test_encoder_works_in_little_memory_and_each_window_alone():
+    weights = [{k: v.astype(np.float32) for k, v in layer.items()} for layer in M.encoder_weights(seed=5)]
+    x = np.random.default_rng(2).normal(size=(2 * M.CHUNK + 1, 24, 4)).astype(np.float32)
+    x[1, 3, 2] = np.nan
+    tracemalloc.start()
+    got = M.recurrent_state(x, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # the inputs of one layer alone would take 9.5 MB for all windows and steps
+    for i in (0, 2, M.CHUNK - 1, M.CHUNK, 2 * M.CHUNK):
+        np.testing.assert_allclose(got[i], slow_state(x[i], weights), atol=1e-5)
+    assert np.isnan(got[1]).all()
+    for n in (1, 2, 3, 7, M.CHUNK, M.CHUNK + 1):
+        np.testing.assert_array_equal(M.recurrent_state(x[:n], weights), got[:n])
+
+
+def test_encoder_keeps_keys_and_empty_values(spark):
+    weights = M.encoder_weights(inputs=2, hidden=3, seed=1)
+    rows = [(None, "a", [[1.0, 2.0], [3.0, 4.0]]), (2**60 + 1, None, [[1.0, None], [3.0, 4.0]]), (3, "c", [[0.5, 1.0], [1.0, 0.0]])]
+    df = spark.createDataFrame(rows, "i long, t string, window array<array<double>>").coalesce(1)
+    out = M.encode_sequences(df, weights, keep=["i", "t"])
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema] == [("i", "bigint"), ("t", "string"), ("memory", "array<double>")]
+    got = {r["t"]: (r["i"], r["memory"]) for r in out.collect()}
+    assert {t: i for t, (i, _) in got.items()} == {"a": None, None: 2**60 + 1, "c": 3}
+    assert np.isnan(got[None][1]).all()
+    for _, t, w in (rows[0], rows[2]):
+        np.testing.assert_allclose(got[t][1], slow_state(np.array(w), weights), atol=1e-5)
+    uneven = spark.createDataFrame([([[1.0, 2.0]],), ([[1.0, 2.0]] * 3,)], "window array<array<double>>").coalesce(1)
+    with pytest.raises(PythonException, match="windows of one length"):
+        M.encode_sequences(uneven, weights).collect()
+
+
 def test_risk_models_rank_and_flag(spark):
     rng = np.random.default_rng(0)
     rows = [([float(x), float(y)], int(x > 1), 0) for x, y in rng.normal(size=(300, 2))]

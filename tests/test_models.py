@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
+from shopfloor.operators import explain as X
 from shopfloor.operators import models as M
 
 
@@ -71,6 +72,49 @@ def test_encoder_keeps_keys_and_empty_values(spark):
         M.encode_sequences(uneven, weights).collect()
 
 
+NAN = float("nan")
+
+
+def plain_top(names, w, m, x, k):
+    """Names, impacts, shares and signs of the ``k`` largest, by loops."""
+    impact = [None if v is None else a * (v - b) for a, b, v in zip(w, m, x)]
+    total = None if None in impact else sum(abs(v) for v in impact)
+    share = [0.0 if total is None or total == 0 else abs(v) / total * 100 for v in impact]
+    size = lambda i: (impact[i] is not None, not (impact[i] is not None and np.isnan(impact[i])), -abs(impact[i] or 0.0), i)
+    # Unknown impacts come first, not-a-number last, as Spark sorts negated sizes.
+    order = sorted(range(len(x)), key=lambda i: (size(i)[0], not size(i)[1], size(i)[2], i))
+    return [(names[i], impact[i], share[i], "+" if impact[i] is not None and (impact[i] > 0 or np.isnan(impact[i])) else "-") for i in order[:k]]
+
+
+def test_impact_shares_of_odd_rows(spark):
+    names, w, m = ["a", "b", "c"], [1.0, -2.0, 0.5], [0.0, 1.0, 2.0]
+    rows = [[3.0, 1.0, 8.0], [0.0, 1.0, 2.0], [1.0, 1.5, 4.0], [-1.0, 1.5, 0.0], [None, 4.0, 1.0], [NAN, 4.0, 1.0], [-0.0, 1.0, 2.0]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<double>")
+    floats = lambda v: F.array(*[F.lit(a) for a in v])
+    for n in (None, 3):
+        out = df.withColumn("v", X.contributions(F.col("x"), floats(w), floats(m), n))
+        out = out.select("i", X.named(names, F.col("v"), F.col("x")).alias("items"))
+        out = out.withColumn("items", X.impact_share(F.col("items"), n)).withColumn("top", X.top_contributions(F.col("items"), 2))
+        for r in out.collect():
+            assert [(y["name"], y["position"]) for y in r["items"]] == [("a", 0), ("b", 1), ("c", 2)]
+            np.testing.assert_equal([y["value"] for y in r["items"]], rows[r["i"]])
+            got = [(y["name"], y["impact"], y["share"], y["sign"]) for y in r["top"]]
+            np.testing.assert_equal(got, plain_top(names, w, m, rows[r["i"]], 2))
+    empty = spark.createDataFrame([(None,)], "x array<double>").select(X.named(names, F.col("x"), F.col("x")).alias("items")).first()["items"]
+    assert [tuple(y) for y in empty] == [(n, None, None, i) for i, n in enumerate(names)]
+
+
+def test_impact_share_computes_contributions_and_total_once_a_row(spark):
+    names = [f"x{i}" for i in range(14)]
+    ones = F.array(*[F.lit(1.0)] * 14)
+    df = spark.range(10).select("id", F.array_repeat(F.col("id").cast("double"), 14).alias("x"))
+    df = df.withColumn("v", X.contributions(F.col("x"), ones, ones, 14)).select(X.named(names, F.col("v"), F.col("x")).alias("items"))
+    plan = df.select(X.impact_share(F.col("items"), 14).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "aggregate(" not in plan
+    plan = df.select(X.impact_share(F.col("items")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
 def test_risk_models_rank_and_flag(spark):
     rng = np.random.default_rng(0)
     rows = [([float(x), float(y)], int(x > 1), 0) for x, y in rng.normal(size=(300, 2))]
